@@ -81,8 +81,8 @@ def heavy_shingles(docs: DataFrame, width: int, least: int, limit: int) -> np.nd
         room, level = room - n, lv
     if level is None:
         return np.zeros((2, 0), np.int64)
-    found = np.array([tuple(r) for r in counts.where(F.col("level") >= level).select("h", "level").collect()], np.int64).reshape(-1, 2)
-    return found[np.argsort(found[:, 0].view(np.uint64))].T.copy()
+    found = counts.where(F.col("level") >= level).select("h", "level").toPandas().to_numpy(np.int64)
+    return found[np.argsort(found[:, 0].copy().view(np.uint64))].T.copy()
 
 
 def _prefixes(docs: DataFrame, heavy, width: int, percent: int) -> DataFrame:
@@ -220,7 +220,7 @@ def _evaluate(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 
-def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least: int = 32, heavy_limit: int = 100_000, block_sets: int = 2048, block_shingles: int = 1 << 20) -> DataFrame:
+def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least: int = 3, heavy_limit: int = 400_000, block_sets: int = 2048, block_shingles: int = 1 << 20) -> DataFrame:
     """docs (doc_id, text) to a row per document: doc_id, n_shingles, n_links (documents whose
     Jaccard similarity with it is at least percent / 100), component_id (smallest doc_id that
     links reach, its own included), class_id and class_size (documents of an equal set).
@@ -245,10 +245,13 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least
     heavy = spark.sparkContext.broadcast(heavy_shingles(docs, width, heavy_least, heavy_limit))  # bounded by heavy_limit
     posted = _prefixes(docs, heavy, width, percent)
     several = posted.groupBy("h").count().where("count > 1").select("h")
-    heads = rows.where("n_shingles > 0").groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    entries = posted.join(several, "h").join(heads, "doc_id").select("h", "rep").distinct()
-    lists = entries.groupBy("h").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").select("h", "head")
-    entries = materialize(entries.join(lists, "h"), "entries")
+    heads = rows.where("n_shingles > 0").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("n_shingles").alias("n"))
+    # Linked sets differ in size by no more than a factor of 100 / percent: an entry stands in the list of its own band of sizes
+    # and in the next one's, and two entries that can link share at least one of these.
+    band = F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9)) - 1e-9).cast("int")
+    entries = posted.join(several, "h").join(heads, "doc_id").select("h", "rep", F.explode(F.array(band, band + 1)).alias("band")).distinct()
+    lists = entries.groupBy("h", "band").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
+    entries = materialize(entries.join(lists, ["h", "band"]).select(F.xxhash64("h", "band").alias("h"), "rep", "head"), "entries")
     members = (
         entries.groupBy("rep").agg(F.min("head").alias("label"))
         .join(rows.where("doc_id = rep").select("rep", "n_shingles", "copies").distinct(), "rep")
