@@ -4,18 +4,82 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import embedding_dedup, license_scan, line_dedup, mixing, ngram_join, packing, quality, token_files, top_k, toxicity
 from .common import table
-from .ngram_join import jaccard_join
+
+#: The vocabulary file of the token operators.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = top_k.quantized(table(spark, sf_dir, "embeddings"))
+    return top_k.top_k(rows.where("id % 100 = 0"), rows, k=10)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
-}
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_tokens(spark, token_files.write_tokens(table(spark, sf_dir, "documents"), TOKENIZER))
+
 
-ORACLE_SQL: dict[str, str] = {}
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_top_k, op2_ngram_jaccard_join, op3_best_fit_packing, op4_license_scan, op5_embedding_near_dedup, op6_token_files, op7_quality_classifier, op8_line_dedup, op9_source_mixing, op10_toxicity)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_top_k": """
+with v as (
+  select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id as vec_id,
+    cast(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 10""",
+    "op8_line_dedup": """
+with l as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as at from documents),
+k as (
+  select doc_id, at, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+c as (select key, min(doc_id) as first from k where length(key) >= 10 group by key having count(distinct doc_id) >= 2),
+m as (select k.doc_id, k.at, k.line, c.key is not null and k.doc_id <> c.first as gone from k left join c on k.key = c.key)
+select doc_id, count(*) as n_lines, cast(sum(case when gone then 1 else 0 end) as bigint) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by at) filter (where not gone), '')) as kept_sha256
+from m group by doc_id""",
+}

@@ -14,7 +14,7 @@ class _Words(dict):
     """Ids of a word, as little-endian unsigned 32-bit integers. Keeps the words of the last
     room to 2 * room misses."""
 
-    def __init__(self, path: str, room: int = 300_000):
+    def __init__(self, path: str, room: int = 450_000):
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -24,10 +24,9 @@ class _Words(dict):
         ids = self.old.get(word)
         if ids is None:
             core = word.rstrip(_TAIL)
-            if core and len(core) < len(word) and core[-1] in _ALNUM:  # punctuation that ends a word is split off it
-                ids = self[core] + self[word[len(core) :]]
-            else:
-                ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            if core and len(core) < len(word) and core[-1] in _ALNUM:  # punctuation that ends a word is encoded apart
+                return self[core] + self[word[len(core) :]]
+            ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= 64:
             if len(self) >= self.room:
                 self.old = dict(self)
