@@ -8,7 +8,8 @@ whole corpus. The steps, each a Spark job over rows that Spark partitions:
    counting those that repeat inside a batch; the table of them is bounded (``heavy_limit``).
    Any fixed order gives the same links; this one only keeps lists short.
 3. Prefix filter: linked sets share a shingle among the first n - ceil(t n) + 1 of both.
-   Shingles that one document alone holds in its prefix go no further.
+   Shingles that one document alone holds in its prefix go no further, nor do pairs of too
+   different sizes, nor pairs that share too few prefix shingles to reach the threshold.
 4. Sets that share prefix shingles are dealt into blocks of bounded size, near ones together.
    Pairs of blocks with a shingle in common meet in one task (whole index lists are skipped
    by block); a set goes only to pairs of blocks in which it shares a shingle.
@@ -106,6 +107,27 @@ def _prefixes(docs: DataFrame, heavy, width: int, percent: int) -> DataFrame:
     return docs.mapInPandas(run, "h long, doc_id long")
 
 
+def _likely(entries: DataFrame, percent: int, short_list: int) -> DataFrame:
+    """Lists (h, rep) that hold every pair that can link, from lists of shared prefix shingles
+    (h, band, rep, n, own, length).
+
+    Where prefixes of sets of n and m shingles share c shingles, the sets share at most
+    c + ceil(percent max(n, m) / 100) - 1: past the end of the prefix that ends first, only the rest of
+    its own set is left. Lists of at most short_list sets are counted pair by pair; a shingle
+    of a longer list counts as shared by all pairs, and longer lists stay as they are."""
+    short, long = entries.where(F.col("length") <= short_list), entries.where(F.col("length") > short_list)
+    x = short.select("h", "band", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("own").alias("ox"))
+    y = short.select("h", "band", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("own").alias("oy"))
+    pairs = x.join(y, ["h", "band"]).where("x < y and band = greatest(ox, oy)").groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"))
+    many = long.groupBy("rep").agg(F.countDistinct("h").alias("many"))
+    pairs = pairs.join(many.withColumnsRenamed({"rep": "x", "many": "mx"}), "x", "left").join(many.withColumnsRenamed({"rep": "y", "many": "my"}), "y", "left")
+    most = F.col("c") + F.coalesce(F.least("mx", "my"), F.lit(0)) * F.when(F.col("mx").isNotNull() & F.col("my").isNotNull(), 1).otherwise(0)
+    most = most + F.ceil(F.greatest("nx", "ny") * percent / 100.0) - 1
+    pairs = pairs.where(most * (100 + percent) >= percent * (F.col("nx") + F.col("ny")))
+    lists = pairs.select(F.xxhash64(F.lit(1), "x", "y").alias("h"), F.explode(F.array("x", "y")).alias("rep"))
+    return lists.unionByName(long.select(F.xxhash64("h", "band").alias("h"), "rep"))
+
+
 def _linked(a: list[np.ndarray], na: np.ndarray, b: list[np.ndarray], nb: np.ndarray, percent: int, same: bool) -> Iterator[tuple[int, np.ndarray]]:
     """For each set of a, the places in b of the sets that link with it (of a later place, if same).
     a and b: sets of local shingle numbers; na and nb: the whole sets' sizes, ascending."""
@@ -220,7 +242,7 @@ def _evaluate(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 
-def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least: int = 3, heavy_limit: int = 400_000, block_sets: int = 2048, block_shingles: int = 1 << 20) -> DataFrame:
+def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least: int = 3, heavy_limit: int = 400_000, block_sets: int = 2048, block_shingles: int = 1 << 20, short_list: int = 16) -> DataFrame:
     """docs (doc_id, text) to a row per document: doc_id, n_shingles, n_links (documents whose
     Jaccard similarity with it is at least percent / 100), component_id (smallest doc_id that
     links reach, its own included), class_id and class_size (documents of an equal set).
@@ -249,9 +271,11 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least
     # Linked sets differ in size by no more than a factor of 100 / percent: an entry stands in the list of its own band of sizes
     # and in the next one's, and two entries that can link share at least one of these.
     band = F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9)) - 1e-9).cast("int")
-    entries = posted.join(several, "h").join(heads, "doc_id").select("h", "rep", F.explode(F.array(band, band + 1)).alias("band")).distinct()
-    lists = entries.groupBy("h", "band").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
-    entries = materialize(entries.join(lists, ["h", "band"]).select(F.xxhash64("h", "band").alias("h"), "rep", "head"), "entries")
+    entries = posted.join(several, "h").join(heads, "doc_id").select("h", "rep", "n", band.alias("own"), F.explode(F.array(band, band + 1)).alias("band")).distinct()
+    lists = entries.groupBy("h", "band").agg(F.count("*").alias("length")).where("length > 1")
+    entries = _likely(materialize(entries.join(lists, ["h", "band"]), "postings"), percent, short_list)
+    heads = entries.groupBy("h").agg(F.min("rep").alias("head"))
+    entries = materialize(entries.join(heads, "h"), "entries")
     members = (
         entries.groupBy("rep").agg(F.min("head").alias("label"))
         .join(rows.where("doc_id = rep").select("rep", "n_shingles", "copies").distinct(), "rep")

@@ -15,24 +15,22 @@ from .common import shared_folder
 from .rans import Coder, frequencies
 from .tokens import encode_words
 
-_BLOCKS = "shard int, block int, docs binary, lengths binary, payload binary, tokens long, first_null long"
+_RAW = "shard int, block int, docs binary, lengths binary, ids binary, tokens long, first_null long"
+_BLOCKS = _RAW.replace("ids", "payload")
 
 
-def token_counts(docs: DataFrame, tokenizer: str, size: int, end: int) -> np.ndarray:
-    """How often each of size ids occurs in all texts, end ids included; size rows reach the driver."""
+def token_counts(raw: DataFrame, size: int, kind: str) -> np.ndarray:
+    """How often each of size ids occurs in raw blocks; size rows reach the driver."""
 
     def count(it):
         total = np.zeros(size, np.int64)
         for pdf in it:
-            total[end] += len(pdf)
-            for t in pdf["text"]:
-                total += 0 if not t else np.bincount(np.frombuffer(encode_words(tokenizer, t), "<u4"), minlength=size) if len(t) > size else 0
-            small = [encode_words(tokenizer, t) for t in pdf["text"] if t and len(t) <= size]
-            total += np.bincount(np.frombuffer(b"".join(small), "<u4"), minlength=size)
+            for ids in pdf["ids"]:
+                total += np.bincount(np.frombuffer(ids, kind), minlength=size)
         ids = np.flatnonzero(total)
         yield pd.DataFrame({"id": ids, "n": total[ids]})
 
-    got = docs.select("text").mapInPandas(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    got = raw.select("ids").mapInPandas(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size, np.int64)
     counts[got["id"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return counts
@@ -46,16 +44,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, size: int = 49_408, end: int =
 
     A null or empty text is its end id alone; repeated rows are written again; other columns are
     ignored; an empty table writes no blocks. Texts are dealt by ranges of doc_id, so a shard is
-    one range, and each is encoded as it streams by; a block closes at the first document that
-    brings it to ``block`` ids, so only one long document exceeds it. The frequencies are those
-    of all documents."""
-    path = path or f"{shared_folder(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    freq = frequencies(token_counts(docs, tokenizer, size, end))
-    table = freq.tolist()
+    one range, and each is tokenized once as it streams by; a block closes at the first document
+    that brings it to ``block`` ids, so only one long document exceeds it. Uncompressed blocks go to
+    a scratch table, for the frequencies are those of all documents; it is removed at the end."""
+    spark = docs.sparkSession
+    path = path or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    kind = "<u2" if size <= 1 << 16 else "<u4"
     last = np.array([end], "<u4").tobytes()
 
-    def encode(it):
-        coder = Coder(np.array(table, np.int64))
+    def tokenize(it):
         names: list[int] = []
         lengths: list[int] = []
         ids: list[bytes] = []
@@ -63,10 +60,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, size: int = 49_408, end: int =
 
         def close():
             nonlocal names, lengths, ids, nulls, total, number
-            row = pd.DataFrame(
-                [(shard, number, np.array(names, "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), coder.encode(np.frombuffer(b"".join(ids), "<u4")), total, nulls)],
-                columns=["shard", "block", "docs", "lengths", "payload", "tokens", "first_null"],
-            )
+            small = np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes()
+            row = pd.DataFrame([(shard, number, np.array(names, "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), small, total, nulls)], columns=["shard", "block", "docs", "lengths", "ids", "tokens", "first_null"])
             names, lengths, ids, nulls, total, number = [], [], [], 0, 0, number + 1
             return row
 
@@ -86,9 +81,22 @@ def write_tokens(docs: DataFrame, tokenizer: str, size: int = 49_408, end: int =
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     rows = rows.select(F.spark_partition_id().alias("part"), F.col("doc_id").isNull().alias("missing"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text")
-    rows.mapInPandas(encode, _BLOCKS).write.parquet(f"{path}/blocks")
-    spark = docs.sparkSession
+    rows.mapInPandas(tokenize, _RAW).write.option("compression", "zstd").parquet(f"{path}/raw")
+    raw = spark.read.schema(_RAW).parquet(f"{path}/raw")
+    freq = frequencies(token_counts(raw, size, kind))
+    table = freq.tolist()
+
+    def encode(it):
+        coder = Coder(np.array(table, np.int64))
+        for pdf in it:
+            for k in range(len(pdf)):
+                one = pdf.iloc[k : k + 1]
+                yield one.assign(payload=[coder.encode(np.frombuffer(one["ids"].iloc[0], kind).astype("<u4"))]).drop(columns="ids")
+
+    raw.mapInPandas(encode, _BLOCKS).write.parquet(f"{path}/blocks")
     spark.createDataFrame(pd.DataFrame({"id": np.arange(size), "frequency": freq})).coalesce(1).write.parquet(f"{path}/frequencies")
+    scratch = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/raw")
+    scratch.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(scratch, True)
     return path
 
 
