@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def _to_least(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v): adds m, the least of u and all its v."""
+def _to_least(pairs: DataFrame, hubs: bool = False) -> DataFrame:
+    """pairs (u, v): adds m, the least of u and all its v. Where a u can have very many v, minima
+    are written first: then both sides of the join are plain shuffles, whose skewed parts are split."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(least, "least") if hubs else least
     return pairs.join(least, "u").withColumn("m", F.least("m", "u"))
 
 
@@ -25,7 +27,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _to_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _to_least(both, True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _to_least(large)
         now = materialize(
             small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "edges"

@@ -181,6 +181,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, sample: int = 20_0
     joined = components(found.select("a", "b"))
     links = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "id")
     known = classes.select(*key, "rep", "copies").join(links.join(joined, "id", "full"), F.col("rep") == F.col("id"), "left").where("copies > 1 or id is not null").drop("id")
+    known = materialize(known, "known")  # a plain shuffle then, so that a hot vector's rows can be split
     out = keyed.drop("v").join(known, key, "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "rep", "vec_id"))
     return out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, materialize
 
 
 def line_key(line: Column) -> Column:
@@ -37,7 +37,9 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 10, keep_fir
         common = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     else:
         common = lines.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    gone = lines.join(common.select("h1", "h2", "first"), ["h1", "h2"])
+    # Written first, so that both sides of the join are plain shuffles, whose skewed parts are split.
+    common = materialize(common.select("h1", "h2", "first"), "common")
+    gone = lines.join(common, ["h1", "h2"])
     gone = gone.where("doc_id <> first") if keep_first else gone
     gone = gone.groupBy("doc_id", "of").agg(F.collect_set("at").alias("gone"))  # no more than the document's own lines
     n = F.size("lines")

@@ -257,6 +257,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least
     signed = materialize(signatures(docs.withColumn("doc_id", F.coalesce("doc_id", none)), width), "signed").withColumn("doc_id", F.nullif("doc_id", none))
     key = ["s1", "s2", "n_shingles"]
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    classes = materialize(classes, "copies")  # written, as other aggregates below, so that joins on hot keys are of plain shuffles and can be split
     rows = materialize(
         signed.join(classes, key, "left").select(
             "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"), F.when(F.col("doc_id").isNotNull(), F.coalesce("copies", F.lit(1))).alias("copies")
@@ -266,7 +267,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least
     docs = docs.where("doc_id is not null")
     heavy = spark.sparkContext.broadcast(heavy_shingles(docs, width, heavy_least, heavy_limit))  # bounded by heavy_limit
     posted = _prefixes(docs, heavy, width, percent)
-    several = posted.groupBy("h").count().where("count > 1").select("h")
+    several = materialize(posted.groupBy("h").count().where("count > 1").select("h"), "several")
     heads = rows.where("n_shingles > 0").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("n_shingles").alias("n"))
     # Linked sets differ in size by no more than a factor of 100 / percent: an entry stands in the list of its own band of sizes
     # and in the next one's, and two entries that can link share at least one of these.
@@ -274,7 +275,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least
     entries = posted.join(several, "h").join(heads, "doc_id").select("h", "rep", "n", band.alias("own"), F.explode(F.array(band, band + 1)).alias("band")).distinct()
     lists = entries.groupBy("h", "band").agg(F.count("*").alias("length")).where("length > 1")
     entries = _likely(materialize(entries.join(lists, ["h", "band"]), "postings"), percent, short_list)
-    heads = entries.groupBy("h").agg(F.min("rep").alias("head"))
+    heads = materialize(entries.groupBy("h").agg(F.min("rep").alias("head")), "heads")
     entries = materialize(entries.join(heads, "h"), "entries")
     members = (
         entries.groupBy("rep").agg(F.min("head").alias("label"))
@@ -312,7 +313,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least
     found = materialize(found, "links")
     joined = components(found.select("a", "b"))
     links = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "id")
-    known = links.join(joined, "id", "full").withColumnRenamed("id", "rep")
+    known = materialize(links.join(joined, "id", "full").withColumnRenamed("id", "rep"), "known")
     return rows.join(known, "rep", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") == 0, 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
