@@ -65,9 +65,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     def named(df: DataFrame) -> DataFrame:
         return df.withColumn("name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
 
+    small = F.broadcast if len(totals) <= 50_000 else (lambda df: df)  # a row per source
+
     # Sizes are shuffled without texts. A source's size classes are split by hash into as many buckets as it has bucket-fuls.
-    rows = named(rows).join(named(plan).drop("source"), "name").withColumn("level", F.floor(F.log2(F.col("size") + 1) * 16).cast("long")).withColumn("part", F.pmod("row_key", "split"))
+    rows = named(rows).join(small(named(plan).drop("source")), "name").withColumn("level", F.floor(F.log2(F.col("size") + 1) * 16).cast("long")).withColumn("part", F.pmod("row_key", "split"))
     place = ["name", "level", "part"]
+    rows = rows.repartition(*place)  # a join by source alone would leave a source in one task
     counts = rows.groupBy(place).agg(F.count("*").alias("n"))
     begins = counts.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("name").orderBy("level", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     ranks = rows.withColumn("own", F.row_number().over(W.partitionBy(place).orderBy("size", "row_key", "doc_id"))).join(begins, place).withColumn("rank", F.col("before") + F.col("own") - 1)
@@ -86,7 +89,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     draws = [F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("name")), F.lit(1 << 40)) / float(1 << 40) for k in range(offsets)]
     tried = ranks.groupBy("name", "target").agg(*[F.sum(F.col("size") * copies(d)).alias(f"t{k}") for k, d in enumerate(draws)])
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")), d) for k, d in enumerate(draws)]))["col2"]
-    chosen = ranks.join(tried.select("name", best.alias("offset")), "name").withColumn("copies", copies(F.col("offset")))
+    chosen = ranks.join(small(tried.select("name", best.alias("offset"))), "name").withColumn("copies", copies(F.col("offset")))
     return chosen.select("doc_id", "source", "row_key", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
