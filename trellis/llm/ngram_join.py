@@ -10,7 +10,7 @@ whole corpus. The steps, each a Spark job over rows that Spark partitions:
 3. Prefix filter: linked sets share a shingle among the first n - ceil(t n) + 1 of both.
    Shingles that one document alone holds in its prefix go no further, nor do pairs of too
    different sizes, nor pairs that share too few prefix shingles to reach the threshold.
-4. Sets that share prefix shingles are dealt into blocks of bounded size, near ones together.
+4. Sets that share prefix shingles are dealt into blocks of bounded size, those of one list together.
    Pairs of blocks with a shingle in common meet in one task (whole index lists are skipped
    by block); a set goes only to pairs of blocks in which it shares a shingle.
 5. In a task, sets stand by size; an index list is read only from the block of positions whose
@@ -242,7 +242,7 @@ def _evaluate(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 
-def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least: int = 3, heavy_limit: int = 400_000, block_sets: int = 2048, block_shingles: int = 1 << 20, short_list: int = 16) -> DataFrame:
+def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least: int = 3, heavy_limit: int = 400_000, block_sets: int = 2048, block_shingles: int = 1 << 19, short_list: int = 64, most_bits: int = 1 << 27) -> DataFrame:
     """docs (doc_id, text) to a row per document: doc_id, n_shingles, n_links (documents whose
     Jaccard similarity with it is at least percent / 100), component_id (smallest doc_id that
     links reach, its own included), class_id and class_size (documents of an equal set).
@@ -277,24 +277,17 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least
     entries = _likely(materialize(entries.join(lists, ["h", "band"]), "postings"), percent, short_list)
     heads = materialize(entries.groupBy("h").agg(F.min("rep").alias("head")), "heads")
     entries = materialize(entries.join(heads, "h"), "entries")
-    members = (
-        entries.groupBy("rep").agg(F.min("head").alias("label"))
-        .join(rows.where("doc_id = rep").select("rep", "n_shingles", "copies").distinct(), "rep")
+    members = materialize(
+        entries.groupBy("rep").agg(F.min("head").alias("label")).join(rows.where("doc_id = rep").select("rep", "n_shingles", "copies").distinct(), "rep"), "members"
     )
-
-    def deal(it):
-        chunk = n = total = 0
-        for pdf in it:
-            out = []
-            for size in pdf["n_shingles"]:
-                if n and (n >= block_sets or total + size > block_shingles):
-                    chunk, n, total = chunk + 1, 0, 0
-                n, total = n + 1, total + size
-                out.append(chunk)
-            yield pdf.assign(chunk=(pdf["part"].to_numpy(np.int64) << 32) + np.array(out, np.int64))[["rep", "n_shingles", "copies", "chunk"]]
-
-    members = members.repartitionByRange("label", "n_shingles", "rep").sortWithinPartitions("label", "n_shingles", "rep")
-    members = materialize(members.withColumn("part", F.spark_partition_id()).mapInPandas(deal, "rep long, n_shingles long, copies long, chunk long"), "blocks")
+    # A label's sets share a block, as do small labels by hash; a label too large for one is split by hash.
+    labels = members.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n_shingles") / block_shingles)).alias("parts"))
+    labels = materialize(labels, "labels")
+    size = members.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")).first()
+    blocks = 1 + max(2 * size["n"] // block_sets, 2 * (size["total"] or 0) // block_shingles)
+    split = F.xxhash64("label", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    members = members.join(labels, "label").select("rep", "n_shingles", "copies", F.when(F.col("parts") > 1, split).otherwise(F.pmod(F.xxhash64("label"), F.lit(blocks))).alias("chunk"))
+    members = materialize(members, "blocks")
 
     placed = entries.select("h", "rep").join(members.select("rep", "chunk"), "rep")
     where = placed.select("h", "chunk").distinct()
@@ -304,11 +297,24 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least
     far = placed.join(pairs, ["h", "chunk"]).select("rep", "chunk", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2")).distinct()
     tasks = far.unionByName(members.select("rep", "chunk", F.col("chunk").alias("c1"), F.col("chunk").alias("c2")))
 
+    # Only sets of members are made: a bitmap of their ids' hashes, of bounded size, keeps most other texts out before any shuffle.
+    slots = max(1 << 15, min(most_bits, 1 << (16 * size["n"]).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
+    bits = members.select((F.pmod(F.xxhash64("rep"), F.lit(slots)) + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bitmap = np.zeros(slots // 8, np.uint8)
+    for r in bits.collect():  # most_bits / 32768 rows of 4 KB at most
+        bitmap[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    known_bits = spark.sparkContext.broadcast(bitmap)
+
     def gather(it):
-        for pdf, sets in _sets(it, width):
-            yield pd.DataFrame({"rep": pdf["doc_id"], "n_shingles": pdf["n_shingles"], "copies": pdf["copies"], "shingles": [s.tobytes() for s in sets]})
+        for pdf in it:
+            at = pdf["slot"].to_numpy(np.int64)
+            pdf = pdf[(known_bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            for lo in range(0, len(pdf), 256):
+                for part, sets in _sets([pdf.iloc[lo : lo + 256]], width):
+                    yield pd.DataFrame({"rep": part["doc_id"].to_numpy(np.int64), "shingles": [s.tobytes() for s in sets]})
 
-    sets = docs.join(members.select(F.col("rep").alias("doc_id"), "n_shingles", "copies"), "doc_id").mapInPandas(gather, "rep long, n_shingles long, copies long, shingles binary")
+    sets = docs.select("doc_id", "text", slot.alias("slot")).mapInPandas(gather, "rep long, shingles binary").join(members.select("rep", "n_shingles", "copies"), "rep")
     found = sets.join(tasks, "rep").groupBy("c1", "c2").applyInPandas(lambda pdf: _evaluate(pdf.drop_duplicates("rep"), percent), "a long, b long, links long")
     found = materialize(found, "links")
     joined = components(found.select("a", "b"))
@@ -316,6 +322,6 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least
     known = materialize(links.join(joined, "id", "full").withColumnRenamed("id", "rep"), "known")
     return rows.join(known, "rep", "left").select(
         "doc_id", "n_shingles",
-        F.when(F.col("n_shingles") == 0, 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
+        F.when(F.col("n_shingles") == 0, 0).otherwise(F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
         F.coalesce("component", "rep").alias("component_id"), F.col("rep").alias("class_id"), F.col("copies").alias("class_size"),
     )
