@@ -18,23 +18,24 @@ WIDTH = 128 + 14
 
 def shape_features(texts: list[str | None]) -> np.ndarray:
     """A row of numbers per text, from all of it: the rate of each ASCII character, and rates of
-    letters, words, lines and repetition. A null or empty text is all zeros but for its size."""
+    letters, words, lines and repetition. Rates are damped, so that a text of a few words says little.
+    A null or empty text is all zeros but for its size."""
     out = np.zeros((len(texts), WIDTH))
     for lo, hi in slices(texts):
         words, bounds = word_hashes(texts[lo:hi])
         for i in range(lo, hi):
             raw = np.frombuffer((texts[i] or "").encode("utf-8", "replace"), np.uint8)
-            n = max(1, len(raw))
+            n = len(raw) + 60
             of = np.bincount(raw, minlength=256)
             w = words[bounds[i - lo] : bounds[i - lo + 1]]
-            k = max(1, len(w))
+            k = len(w) + 10
             distinct, times = np.unique(w, return_counts=True) if len(w) else (w, np.zeros(1, int))
             lines = int(of[10]) + 1
             alpha = of[_UPPER].sum() + of[_SMALL].sum()
             out[i, :128] = np.sqrt(of[:128] / n)
             out[i, 128:] = [
-                of[_UPPER].sum() / max(1, alpha), alpha / n, of[_DIGIT].sum() / n, of[128:].sum() / n, len(w) and n / k / 10, len(distinct) / k, times.max() / k,
-                np.log1p(len(raw)) / 10, np.log1p(k) / 10, np.log1p(k / lines) / 5, lines / k, (w[1:] == w[:-1]).mean() if len(w) > 1 else 0.0,
+                of[_UPPER].sum() / (alpha + 40), alpha / n, of[_DIGIT].sum() / n, of[128:].sum() / n, len(raw) / k / 10, len(distinct) / k, times.max() / k,
+                np.log1p(len(raw)) / 10, np.log1p(len(w)) / 10, np.log1p(len(w) / lines) / 5, lines / k, (w[1:] == w[:-1]).sum() / k,
                 (of[33:48].sum() + of[58:65].sum() + of[91:97].sum() + of[123:127].sum()) / n, (of[33] + of[124] + of[35] + of[64]) / k,
             ]
     return out
