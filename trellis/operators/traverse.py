@@ -46,16 +46,15 @@ def reach(graph: Graph, starts: DataFrame, over: str | None = None, direction: s
     each start, the start itself left out, at its shortest depth. keys is the canonical path,
     null unless ordered. Nodes that don't exist are neither reached nor crossed."""
     _check(depth, None)
-    exist = graph.node_ids().select("id").distinct()
+    exist = graph.node_ids().select("id")
     edges = graph.adjacency(over, direction, ordered)
-    first = starts.select("id").distinct().join(exist, "id", "left_semi")
+    first = starts.select("id").join(exist, "id").distinct()
     keys = F.array().cast("array<string>") if ordered else F.lit(None).cast("array<string>")
     best = first.select(F.col("id").alias("start"), "id", F.struct(F.lit(0).alias("depth"), keys.alias("keys")).alias("at"))
-    # Edges to nodes that don't exist go once, not at every level.
-    whole = edges.join(exist.withColumnRenamed("id", "dst"), "dst", "left_semi") if depth else edges
     for level in range(1, depth + 1):
         longer = F.concat("at.keys", F.array("key")) if ordered else F.lit(None).cast("array<string>")
-        found = best.where(F.col("at.depth") == level - 1).join(whole, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id"), F.struct(F.lit(level).alias("depth"), longer.alias("keys")).alias("at"))
+        found = best.where(F.col("at.depth") == level - 1).join(edges, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id"), F.struct(F.lit(level).alias("depth"), longer.alias("keys")).alias("at"))
+        found = found.join(exist, "id").select("start", "id", "at")  # the frontier meets nodes, so that only reached ids are looked up
         best = best.unionByName(found).groupBy("start", "id").agg(F.min("at").alias("at"))
         if level % LEVELS_A_QUERY == 0 and level < depth:
             best = _cut(best)
@@ -64,11 +63,16 @@ def reach(graph: Graph, starts: DataFrame, over: str | None = None, direction: s
     return best.where("at.depth > 0").select("start", "id", F.col("at.depth").alias("depth"), F.col("at.keys").alias("keys"))
 
 
+def _start(graph: Graph, start: str) -> DataFrame:
+    """One row of known size, so that the first joins broadcast it."""
+    return graph.spark.range(1).select(F.lit(start).alias("id"))
+
+
 def _taken(graph: Graph, start: str, over, direction, depth, limit, strict) -> DataFrame:
     _check(depth, limit)
     if strict and (depth > MOST_DEPTH or (limit or 0) > MOST_RESULTS):
         raise LimitExceeded(f"a walk has at most {MOST_DEPTH} levels and {MOST_RESULTS} results")
-    starts = graph.spark.createDataFrame([(start,)], "id string")
+    starts = _start(graph, start)
     if depth == 0 or limit == 0:
         return graph.spark.createDataFrame([], "id string, depth int, keys array<string>, rank long")
     found = reach(graph, starts, over, direction, depth).select("id", "depth", "keys")
@@ -105,7 +109,7 @@ def expanded_edges(graph: Graph, start: str, over: str | None = None, direction:
     taken = _taken(graph, start, over, direction, depth, limit, False)
     n = 0
     if depth and limit:
-        all_ = reach(graph, graph.spark.createDataFrame([(start,)], "id string"), over, direction, depth).select("id", "depth", "keys")
+        all_ = reach(graph, _start(graph, start), over, direction, depth).select("id", "depth", "keys")
         begin = graph.spark.createDataFrame([(start, 0, [])], "id string, depth int, keys array<string>").join(graph.node_ids().select("id"), "id", "left_semi")
         seen = begin.unionByName(all_).where(F.col("depth") < depth).join(graph.adjacency(over, direction), F.col("id") == F.col("src"))
         seen = seen.select((F.col("depth") + 1).alias("depth"), F.concat("keys", F.array("key")).alias("keys"))
