@@ -63,23 +63,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_top_k": """
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
+  select vec_id, [cast(floor(1024 * cast(x as double)) as bigint) for x in embedding] as e from embeddings
   where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
 s as (
   select q.vec_id as query_id, c.vec_id as vec_id,
-    cast(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) as bigint) as score
+    cast(list_sum([p[1] * p[2] for p in list_zip(q.e, c.e)]) as bigint) as score
   from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
 r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
 select query_id, rank, vec_id, score from r where rank <= 10""",
     "op8_line_dedup": """
 with l as (
-  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as at from documents),
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
 k as (
-  select doc_id, at, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+  select doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
 c as (select key, min(doc_id) as first from k where length(key) >= 10 group by key having count(distinct doc_id) >= 2),
-m as (select k.doc_id, k.at, k.line, c.key is not null and k.doc_id <> c.first as gone from k left join c on k.key = c.key)
+m as (select k.doc_id, k.pos, k.line, c.key is not null and k.doc_id <> c.first as gone from k left join c on k.key = c.key)
 select doc_id, count(*) as n_lines, cast(sum(case when gone then 1 else 0 end) as bigint) as n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) order by at) filter (where not gone), '')) as kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from m group by doc_id""",
 }
