@@ -72,6 +72,25 @@ s as (
   from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
 r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
 select query_id, rank, vec_id, score from r where rank <= 10""",
+    "op2_ngram_jaccard_join": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else [array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)] end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+common as (select g from s group by g having count(*) > 1),
+t as (select s.doc_id, s.g from s join common using (g)),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as c from t x join t y on x.g = y.g and x.doc_id <> y.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, least(a, min(b)) as component_id from r group by a),
+e as (select a, count(*) as n_links from l group by a),
+sig as (select doc_id, string_agg(g, chr(10) order by g) as k from s group by doc_id),
+k as (select doc_id, min(doc_id) over (partition by k) as class_id, count(*) over (partition by k) as class_size from sig)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(n_links, 0) as n_links, coalesce(component_id, w.doc_id) as component_id,
+  coalesce(class_id, w.doc_id) as class_id, coalesce(class_size, 1) as class_size
+from w left join n using (doc_id) left join k using (doc_id) left join e on e.a = w.doc_id left join c on c.a = w.doc_id""",
     "op8_line_dedup": """
 with l as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
