@@ -33,6 +33,7 @@ from .components import components
 
 _SIGNED = "doc_id long, n_shingles long, s1 long, s2 long"
 _BLOCK = 64
+_MARKS = 64
 _NO = np.zeros(0, np.int64)
 
 
@@ -86,6 +87,18 @@ def heavy_shingles(docs: DataFrame, width: int, least: int, limit: int) -> np.nd
     return found[np.argsort(found[:, 0].copy().view(np.uint64))].T.copy()
 
 
+def _prefix(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
+
+
+def _ranks(s: np.ndarray, known: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The levels of the shingles of s, 0 for those not known as shared; the order is level, then hash."""
+    if not len(known):
+        return np.zeros(len(s), np.int64)
+    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+    return np.where(known[at] == s, level[at], 0)
+
+
 def _prefixes(docs: DataFrame, heavy, width: int, percent: int) -> DataFrame:
     def run(it):
         known, level = heavy.value[0].view(np.uint64), heavy.value[1]
@@ -94,12 +107,7 @@ def _prefixes(docs: DataFrame, heavy, width: int, percent: int) -> DataFrame:
             hs, ds = [_NO], [_NO]
             for i in _unlike(sets):
                 s = sets[i]
-                k = len(s) - -(-percent * len(s) // 100) + 1
-                rank = np.zeros(len(s), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    rank = np.where(known[at] == s, level[at], 0)
-                p = s[np.argsort(rank, kind="stable")[:k]]
+                p = s[np.argsort(_ranks(s, known, level), kind="stable")[: _prefix(len(s), percent)]]
                 hs.append(p.view(np.int64))
                 ds.append(np.full(len(p), ids[i], np.int64))
             yield pd.DataFrame({"h": np.concatenate(hs), "doc_id": np.concatenate(ds)})
@@ -107,23 +115,59 @@ def _prefixes(docs: DataFrame, heavy, width: int, percent: int) -> DataFrame:
     return docs.mapInPandas(run, "h long, doc_id long")
 
 
-def _likely(entries: DataFrame, percent: int, short_list: int) -> DataFrame:
+def _some_sets(docs: DataFrame, ids: DataFrame, width: int, make, schema: str, most_bits: int) -> DataFrame:
+    """make(rows, sets) over the documents named by ids (rep), and over a few more: a bitmap of the
+    ids' hashes, of bounded size, keeps most other texts out before any shuffle."""
+    slots = max(1 << 15, min(most_bits, 1 << (16 * ids.count()).bit_length()))
+    at = (F.pmod(F.xxhash64("rep"), F.lit(slots)) + 1).alias("at")
+    bits = ids.select(at).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bitmap = np.zeros(slots // 8, np.uint8)
+    for r in bits.collect():  # most_bits / 32768 rows of 4 KB at most
+        bitmap[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    known = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(it):
+        for pdf in it:
+            at = pdf["slot"].to_numpy(np.int64)
+            pdf = pdf[(known.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            for lo in range(0, len(pdf), 256):
+                for part, sets in _sets([pdf.iloc[lo : lo + 256]], width):
+                    yield make(part, sets)
+
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("slot")).mapInPandas(run, schema)
+
+
+def _likely(entries: DataFrame, percent: int, short_list: int, marks_of) -> DataFrame:
     """Lists (h, rep) that hold every pair that can link, from lists of shared prefix shingles
     (h, band, rep, n, own, length).
 
-    Where prefixes of sets of n and m shingles share c shingles, the sets share at most
-    c + ceil(percent max(n, m) / 100) - 1: past the end of the prefix that ends first, only the rest of
-    its own set is left. Lists of at most short_list sets are counted pair by pair; a shingle
-    of a longer list counts as shared by all pairs, and longer lists stay as they are."""
+    Where prefixes of two sets share c shingles, the sets share at most c and what either set has
+    past the end of the prefix that ends first: at most ceil(percent max(n, m) / 100) - 1, and
+    mostly less, as marks_of (rep) tells: the key of each prefix's end and of every
+    _MARKS-th part of the set in the global order. Lists of at most short_list sets are counted
+    pair by pair; a shingle of a longer list counts as shared by all pairs, and longer lists stay as they are."""
     short, long = entries.where(F.col("length") <= short_list), entries.where(F.col("length") > short_list)
     x = short.select("h", "band", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("own").alias("ox"))
     y = short.select("h", "band", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("own").alias("oy"))
     pairs = x.join(y, ["h", "band"]).where("x < y and band = greatest(ox, oy)").groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"))
     many = long.groupBy("rep").agg(F.countDistinct("h").alias("many"))
     pairs = pairs.join(many.withColumnsRenamed({"rep": "x", "many": "mx"}), "x", "left").join(many.withColumnsRenamed({"rep": "y", "many": "my"}), "y", "left")
-    most = F.col("c") + F.coalesce(F.least("mx", "my"), F.lit(0)) * F.when(F.col("mx").isNotNull() & F.col("my").isNotNull(), 1).otherwise(0)
-    most = most + F.ceil(F.greatest("nx", "ny") * percent / 100.0) - 1
-    pairs = pairs.where(most * (100 + percent) >= percent * (F.col("nx") + F.col("ny")))
+    most = F.col("c") + F.when(F.col("mx").isNotNull() & F.col("my").isNotNull(), F.least("mx", "my")).otherwise(0)
+    least = percent * (F.col("nx") + F.col("ny"))
+    pairs = pairs.withColumn("c", most).where((F.col("c") + F.ceil(F.greatest("nx", "ny") * percent / 100.0) - 1) * (100 + percent) >= least)
+    pairs = materialize(pairs.select("x", "y", "nx", "ny", "c"), "pairs")
+    marks = marks_of(pairs.select(F.explode(F.array("x", "y")).alias("rep")).distinct())
+    for side in "xy":
+        pairs = pairs.join(marks.select(F.col("rep").alias(side), F.col("end").alias(f"e{side}"), F.col("marks").alias(f"m{side}")), side)
+    end = F.least("ex", "ey")
+
+    def beyond(side: str, other: str):
+        """At most so many shingles of one set come after the end of the prefix that ends first."""
+        n, passed = F.col(f"n{side}"), F.size(F.filter(f"m{side}", lambda m: m < end))
+        own = F.when(F.col(f"e{side}") < F.col(f"e{other}"), n - F.ceil(n * percent / 100.0) + 1)
+        return n - F.coalesce(own, F.when(passed > 0, F.floor((passed - 1) * n / _MARKS) + 1).otherwise(0))
+
+    pairs = pairs.where((F.col("c") + F.least(beyond("x", "y"), beyond("y", "x"))) * (100 + percent) >= least)
     lists = pairs.select(F.xxhash64(F.lit(1), "x", "y").alias("h"), F.explode(F.array("x", "y")).alias("rep"))
     return lists.unionByName(long.select(F.xxhash64("h", "band").alias("h"), "rep"))
 
@@ -274,7 +318,22 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least
     band = F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9)) - 1e-9).cast("int")
     entries = posted.join(several, "h").join(heads, "doc_id").select("h", "rep", "n", band.alias("own"), F.explode(F.array(band, band + 1)).alias("band")).distinct()
     lists = entries.groupBy("h", "band").agg(F.count("*").alias("length")).where("length > 1")
-    entries = _likely(materialize(entries.join(lists, ["h", "band"]), "postings"), percent, short_list)
+
+    def mark(part, sets):
+        known, level = heavy.value[0].view(np.uint64), heavy.value[1]
+        ends, marks = [], []
+        for s in sets:
+            rank = _ranks(s, known, level)
+            order = np.argsort(rank, kind="stable")
+            key = (np.minimum(rank[order], 127) << 56) + (s[order] >> np.uint64(8)).astype(np.int64)
+            ends.append(int(key[_prefix(len(s), percent) - 1]) if len(s) else 0)
+            marks.append(key[np.arange(_MARKS // 2) * len(s) // _MARKS] if len(s) else _NO)
+        return pd.DataFrame({"rep": part["doc_id"].to_numpy(np.int64), "end": ends, "marks": marks})
+
+    def marks_of(ids):
+        return materialize(_some_sets(docs, ids, width, mark, "rep long, end long, marks array<long>", most_bits).join(ids, "rep").dropDuplicates(["rep"]), "marks")
+
+    entries = _likely(materialize(entries.join(lists, ["h", "band"]), "postings"), percent, short_list, marks_of)
     heads = materialize(entries.groupBy("h").agg(F.min("rep").alias("head")), "heads")
     entries = materialize(entries.join(heads, "h"), "entries")
     members = materialize(
@@ -297,24 +356,10 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least
     far = placed.join(pairs, ["h", "chunk"]).select("rep", "chunk", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2")).distinct()
     tasks = far.unionByName(members.select("rep", "chunk", F.col("chunk").alias("c1"), F.col("chunk").alias("c2")))
 
-    # Only sets of members are made: a bitmap of their ids' hashes, of bounded size, keeps most other texts out before any shuffle.
-    slots = max(1 << 15, min(most_bits, 1 << (16 * size["n"]).bit_length()))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
-    bits = members.select((F.pmod(F.xxhash64("rep"), F.lit(slots)) + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    bitmap = np.zeros(slots // 8, np.uint8)
-    for r in bits.collect():  # most_bits / 32768 rows of 4 KB at most
-        bitmap[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    known_bits = spark.sparkContext.broadcast(bitmap)
-
-    def gather(it):
-        for pdf in it:
-            at = pdf["slot"].to_numpy(np.int64)
-            pdf = pdf[(known_bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            for lo in range(0, len(pdf), 256):
-                for part, sets in _sets([pdf.iloc[lo : lo + 256]], width):
-                    yield pd.DataFrame({"rep": part["doc_id"].to_numpy(np.int64), "shingles": [s.tobytes() for s in sets]})
+    def gather(part, sets):
+        return pd.DataFrame({"rep": part["doc_id"].to_numpy(np.int64), "shingles": [s.tobytes() for s in sets]})
 
-    sets = docs.select("doc_id", "text", slot.alias("slot")).mapInPandas(gather, "rep long, shingles binary").join(members.select("rep", "n_shingles", "copies"), "rep")
+    sets = _some_sets(docs, members, width, gather, "rep long, shingles binary", most_bits).join(members.select("rep", "n_shingles", "copies"), "rep")
     found = sets.join(tasks, "rep").groupBy("c1", "c2").applyInPandas(lambda pdf: _evaluate(pdf.drop_duplicates("rep"), percent), "a long, b long, links long")
     found = materialize(found, "links")
     joined = components(found.select("a", "b"))
