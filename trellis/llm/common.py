@@ -1,15 +1,18 @@
-"""Shared helpers: scratch tables in the cluster's shared folder and word hashing."""
+"""Shared helpers: tables by name and hashes of words, taken from Arrow's own text buffers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import discard, materialize, new_path, remove
+
+__all__ = ["discard", "materialize", "new_path", "remove"]
+
 #: The bytes that separate words, [\x20\x09-\x0D].
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -28,25 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset."""
-    conf = spark.sparkContext.getConf()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts lineage and fixes
-    rows that a retried task would otherwise number anew."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(c: Column) -> Column:
     """Lower-cases A-Z alone. lower() is quicker and does the same where every character is one byte."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
@@ -70,23 +54,48 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lower-cased) of the texts, one after another, and
-    where each text's words begin (one more entry than texts). Works through windows of
-    about 128 KB that end between words, so a long text needs no more memory."""
+def raw_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of texts end to end, and where each begins (one more entry than texts)."""
     parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-    ends = np.cumsum([len(p) + 1 for p in parts]) if parts else np.zeros(0, np.int64)
-    buf = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
-    hashes, starts = [], []
-    at = 0
-    while at < len(buf):
-        to = min(at + _WINDOW, len(buf))
-        while to < len(buf) and not _IS_SPACE[buf[to - 1]]:
-            step = np.flatnonzero(_IS_SPACE[buf[to : to + 4096]])
-            to = to + int(step[0]) + 1 if len(step) else min(to + 4096, len(buf))
+    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
+
+
+def arrow_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As raw_texts, of an Arrow column of strings, without a copy. Nulls are empty."""
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if offsets is not None and len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
+
+
+def _windows(buf: np.ndarray, edges: np.ndarray, apart: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of bytes of about _WINDOW that end between words."""
+    at, last = int(edges[0]), int(edges[-1])
+    while at < last:
+        to = min(at + _WINDOW, last)
+        edge = int(edges[np.searchsorted(edges, to)])
+        while to < edge and not apart[buf[to - 1]]:
+            step = np.flatnonzero(apart[buf[to : min(to + 4096, edge)]])
+            to = to + int(step[0]) + 1 if len(step) else min(to + 4096, edge)
+        yield at, to
+        at = to
+
+
+def word_hashes(buf: np.ndarray, edges: np.ndarray, apart: np.ndarray = _IS_SPACE, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of all words (A-Z lower-cased) of texts (bytes, and where each begins), one after
+    another; for each of stems, hashes of the words' first so many bytes; and, last, where each text's
+    words begin (one more entry than texts). apart tells the bytes that separate words. Works through windows of
+    about 128 KB that end between words, so a long text needs no more memory."""
+    hashes: list[list[np.ndarray]] = [[] for _ in range(1 + len(stems))]
+    starts = []
+    for at, to in _windows(buf, edges, apart):
         part = _LOWERED[buf[at:to]]
-        space = _IS_SPACE[part]
-        first = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+        space = apart[part]
+        begins = np.concatenate(([True], space[:-1]))
+        begins[edges[np.searchsorted(edges, at) : np.searchsorted(edges, to)] - at] = True
+        first = np.flatnonzero(~space & begins)
         if len(first):
             part, space = part[first[0] :], space[first[0] :]
             rel = first - first[0]
@@ -95,32 +104,29 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             value = _BYTE_VALUES[part]
             value[space] = 0
             value *= _powers(int(size.max()))[place]
-            hashes.append(mix64(np.add.reduceat(value, rel)))
+            hashes[0].append(mix64(np.add.reduceat(value, rel)))
+            for k, n in enumerate(stems):
+                hashes[k + 1].append(mix64(np.add.reduceat(np.where(place < n, value, np.uint64(0)), rel)))
             starts.append(first + at)
-        at = to
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(parts) + 1, np.int64)
-    bounds = np.searchsorted(np.concatenate(starts), ends, side="left")
-    return np.concatenate(hashes), np.concatenate(([0], bounds))
+    if not starts:
+        return *[np.zeros(0, np.uint64) for _ in hashes], np.zeros(len(edges), np.int64)
+    return *[np.concatenate(h) for h in hashes], np.searchsorted(np.concatenate(starts), edges, side="left")
 
 
-def slices(texts: list[str | None], budget: int = 1 << 18) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about budget characters each."""
-    at = total = 0
-    for i, t in enumerate(texts):
-        total += len(t) if t else 0
-        if total >= budget:
-            yield at, i + 1
-            at, total = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+def slices(edges: np.ndarray, budget: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about budget bytes each, given where each text begins."""
+    at, n = 0, len(edges) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + budget, side="left")))
+        yield at, min(to, n)
+        at = min(to, n)
 
 
-def shingle_sets(texts: list[str | None], width: int = 5) -> Iterator[np.ndarray]:
+def shingle_sets(buf: np.ndarray, edges: np.ndarray, width: int = 5) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of each text's width-word shingles; a text of fewer words
     has its whole sequence as its only shingle, one without words the empty set."""
-    for lo, hi in slices(texts):
-        words, bounds = word_hashes(texts[lo:hi])
+    for lo, hi in slices(edges):
+        words, bounds = word_hashes(buf, edges[lo : hi + 1])
         grams = words[: max(0, len(words) - width + 1)].copy()
         for j in range(1, width):
             grams = mix64(grams * _BASE + words[j : j + len(grams)])

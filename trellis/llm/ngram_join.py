@@ -25,21 +25,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, shingle_sets
+from .common import arrow_texts, discard, materialize, mix64, shingle_sets, slices
 from .components import components
 
-_SIGNED = "doc_id long, n_shingles long, s1 long, s2 long"
+_CHUNK = 1 << 22
 _BLOCK = 64
 _MARKS = 64
 _NO = np.zeros(0, np.int64)
 
 
-def _sets(it: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    for pdf in it:
-        yield pdf, list(shingle_sets([t if isinstance(t, str) else None for t in pdf["text"]], width))
+def _sets(it: Iterator[pa.RecordBatch], width: int, keep=None) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """doc_ids and shingle sets of batches' documents (of those that keep tells, if given), a few megabytes of text at a time."""
+    for batch in it:
+        if keep is not None:
+            batch = batch.filter(pa.array(keep(batch)))
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        buf, edges = arrow_texts(batch.column("text"))
+        for lo, hi in slices(edges, _CHUNK):
+            yield ids[lo:hi], list(shingle_sets(buf, edges[lo : hi + 1], width))
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32), pa.array(np.concatenate([*parts, _NO]).astype(np.int64)))
 
 
 def _signature(s: np.ndarray) -> tuple[int, int]:
@@ -55,26 +66,27 @@ def _unlike(sets: list[np.ndarray]) -> list[int]:
     return list(first.values())
 
 
-def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
-    def run(it):
-        for pdf, sets in _sets(it, width):
-            sig = np.array([_signature(s) for s in sets], np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets], "s1": sig[:, 0], "s2": sig[:, 1]})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, _SIGNED)
-
-
-def heavy_shingles(docs: DataFrame, width: int, least: int, limit: int) -> np.ndarray:
-    """Hashes of widely shared shingles, sorted by hash: at most limit of them."""
+def survey(docs: DataFrame, width: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """One pass over all texts: a row per document (doc_id, n_shingles, s1, s2: its set's size and signature), and
+    counts (h, n) of the shingles that at least ``least`` documents hold beside others of one stretch of the table."""
 
     def run(it):
-        for _, sets in _sets(it, width):
+        for ids, sets in _sets(it, width):
+            sig = np.array([_signature(s) for s in sets], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_pydict({"kind": np.zeros(len(ids), np.int32), "a": ids, "n": np.array([len(s) for s in sets], np.int64), "s1": sig[:, 0], "s2": sig[:, 1]})
             own = [sets[i] for i in _unlike(sets)]
             if own:
                 h, n = np.unique(np.concatenate(own), return_counts=True)
-                yield pd.DataFrame({"h": h[n > 1].view(np.int64), "n": n[n > 1]})
+                h, n = h[n > 1].view(np.int64), n[n > 1].astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"kind": np.ones(len(h), np.int32), "a": h, "n": n, "s1": np.zeros(len(h), np.int64), "s2": np.zeros(len(h), np.int64)})
+
+    both = materialize(docs.mapInArrow(run, "kind int, a long, n long, s1 long, s2 long"), "signed", ["kind"])
+    counts = both.where("kind = 1").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return both.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), "s1", "s2"), counts
 
-    counts = docs.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+def heavy_shingles(counts: DataFrame, limit: int) -> np.ndarray:
+    """Hashes and levels (quarter powers of two of their counts) of widely shared shingles, sorted by hash: at most limit of them."""
     counts = materialize(counts.withColumn("level", F.floor(F.log2("n") * 4).cast("long")), "heavy")
     room, level = limit, None
     for lv, n in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # a row for each quarter power of two
@@ -84,6 +96,7 @@ def heavy_shingles(docs: DataFrame, width: int, least: int, limit: int) -> np.nd
     if level is None:
         return np.zeros((2, 0), np.int64)
     found = counts.where(F.col("level") >= level).select("h", "level").toPandas().to_numpy(np.int64)
+    discard(counts)
     return found[np.argsort(found[:, 0].copy().view(np.uint64))].T.copy()
 
 
@@ -100,23 +113,20 @@ def _ranks(s: np.ndarray, known: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, heavy, width: int, percent: int) -> DataFrame:
+    """doc_id and prefix (array of hashes) of each set, equal sets of one stretch of the table once."""
+
     def run(it):
         known, level = heavy.value[0].view(np.uint64), heavy.value[1]
-        for pdf, sets in _sets(it, width):
-            ids = pdf["doc_id"].to_numpy()
-            hs, ds = [_NO], [_NO]
-            for i in _unlike(sets):
-                s = sets[i]
-                p = s[np.argsort(_ranks(s, known, level), kind="stable")[: _prefix(len(s), percent)]]
-                hs.append(p.view(np.int64))
-                ds.append(np.full(len(p), ids[i], np.int64))
-            yield pd.DataFrame({"h": np.concatenate(hs), "doc_id": np.concatenate(ds)})
+        for ids, sets in _sets(it, width):
+            some = _unlike(sets)
+            parts = [sets[i][np.argsort(_ranks(sets[i], known, level), kind="stable")[: _prefix(len(sets[i]), percent)]].view(np.int64) for i in some]
+            yield pa.RecordBatch.from_pydict({"doc_id": ids[some] if some else _NO, "prefix": _lists(parts)})
 
-    return docs.mapInPandas(run, "h long, doc_id long")
+    return docs.mapInArrow(run, "doc_id long, prefix array<long>")
 
 
 def _some_sets(docs: DataFrame, ids: DataFrame, width: int, make, schema: str, most_bits: int) -> DataFrame:
-    """make(rows, sets) over the documents named by ids (rep), and over a few more: a bitmap of the
+    """make(doc_ids, sets) over the documents named by ids (rep), and over a few more: a bitmap of the
     ids' hashes, of bounded size, keeps most other texts out before any shuffle."""
     slots = max(1 << 15, min(most_bits, 1 << (16 * ids.count()).bit_length()))
     at = (F.pmod(F.xxhash64("rep"), F.lit(slots)) + 1).alias("at")
@@ -126,15 +136,15 @@ def _some_sets(docs: DataFrame, ids: DataFrame, width: int, make, schema: str, m
         bitmap[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     known = docs.sparkSession.sparkContext.broadcast(bitmap)
 
+    def keep(batch):
+        at = batch.column("slot").to_numpy(zero_copy_only=False)
+        return (known.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
     def run(it):
-        for pdf in it:
-            at = pdf["slot"].to_numpy(np.int64)
-            pdf = pdf[(known.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            for lo in range(0, len(pdf), 256):
-                for part, sets in _sets([pdf.iloc[lo : lo + 256]], width):
-                    yield make(part, sets)
+        for some, sets in _sets(it, width, keep):
+            yield make(some, sets)
 
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("slot")).mapInPandas(run, schema)
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("slot")).mapInArrow(run, schema)
 
 
 def _likely(entries: DataFrame, percent: int, short_list: int, marks_of) -> DataFrame:
@@ -298,7 +308,8 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     none = F.lit(-(2**63))
-    signed = materialize(signatures(docs.withColumn("doc_id", F.coalesce("doc_id", none)), width), "signed").withColumn("doc_id", F.nullif("doc_id", none))
+    signed, counts = survey(docs.withColumn("doc_id", F.coalesce("doc_id", none)), width, heavy_least)
+    signed = signed.withColumn("doc_id", F.nullif("doc_id", none))
     key = ["s1", "s2", "n_shingles"]
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     classes = materialize(classes, "copies")  # written, as other aggregates below, so that joins on hot keys are of plain shuffles and can be split
@@ -309,8 +320,9 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least
         "classes",
     )
     docs = docs.where("doc_id is not null")
-    heavy = spark.sparkContext.broadcast(heavy_shingles(docs, width, heavy_least, heavy_limit))  # bounded by heavy_limit
-    posted = _prefixes(docs, heavy, width, percent)
+    heavy = spark.sparkContext.broadcast(heavy_shingles(counts, heavy_limit))  # bounded by heavy_limit
+    prefixes = materialize(_prefixes(docs, heavy, width, percent), "prefixes")
+    posted = prefixes.select("doc_id", F.explode("prefix").alias("h"))
     several = materialize(posted.groupBy("h").count().where("count > 1").select("h"), "several")
     heads = rows.where("n_shingles > 0").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("n_shingles").alias("n"))
     # Linked sets differ in size by no more than a factor of 100 / percent: an entry stands in the list of its own band of sizes
@@ -319,7 +331,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least
     entries = posted.join(several, "h").join(heads, "doc_id").select("h", "rep", "n", band.alias("own"), F.explode(F.array(band, band + 1)).alias("band")).distinct()
     lists = entries.groupBy("h", "band").agg(F.count("*").alias("length")).where("length > 1")
 
-    def mark(part, sets):
+    def mark(some, sets):
         known, level = heavy.value[0].view(np.uint64), heavy.value[1]
         ends, marks = [], []
         for s in sets:
@@ -328,14 +340,17 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least
             key = (np.minimum(rank[order], 127) << 56) + (s[order] >> np.uint64(8)).astype(np.int64)
             ends.append(int(key[_prefix(len(s), percent) - 1]) if len(s) else 0)
             marks.append(key[np.arange(_MARKS // 2) * len(s) // _MARKS] if len(s) else _NO)
-        return pd.DataFrame({"rep": part["doc_id"].to_numpy(np.int64), "end": ends, "marks": marks})
+        return pa.RecordBatch.from_pydict({"rep": some, "end": np.array(ends, np.int64), "marks": _lists(marks)})
 
     def marks_of(ids):
         return materialize(_some_sets(docs, ids, width, mark, "rep long, end long, marks array<long>", most_bits).join(ids, "rep").dropDuplicates(["rep"]), "marks")
 
-    entries = _likely(materialize(entries.join(lists, ["h", "band"]), "postings"), percent, short_list, marks_of)
-    heads = materialize(entries.groupBy("h").agg(F.min("rep").alias("head")), "heads")
-    entries = materialize(entries.join(heads, "h"), "entries")
+    postings = materialize(entries.join(lists, ["h", "band"]), "postings")
+    discard(prefixes, several)
+    likely = _likely(postings, percent, short_list, marks_of)
+    heads = materialize(likely.groupBy("h").agg(F.min("rep").alias("head")), "heads")
+    entries = materialize(likely.join(heads, "h"), "entries")
+    discard(postings, heads)
     members = materialize(
         entries.groupBy("rep").agg(F.min("head").alias("label")).join(rows.where("doc_id = rep").select("rep", "n_shingles", "copies").distinct(), "rep"), "members"
     )
@@ -356,12 +371,13 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least
     far = placed.join(pairs, ["h", "chunk"]).select("rep", "chunk", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2")).distinct()
     tasks = far.unionByName(members.select("rep", "chunk", F.col("chunk").alias("c1"), F.col("chunk").alias("c2")))
 
-    def gather(part, sets):
-        return pd.DataFrame({"rep": part["doc_id"].to_numpy(np.int64), "shingles": [s.tobytes() for s in sets]})
+    def gather(some, sets):
+        return pa.RecordBatch.from_pydict({"rep": some, "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     sets = _some_sets(docs, members, width, gather, "rep long, shingles binary", most_bits).join(members.select("rep", "n_shingles", "copies"), "rep")
     found = sets.join(tasks, "rep").groupBy("c1", "c2").applyInPandas(lambda pdf: _evaluate(pdf.drop_duplicates("rep"), percent), "a long, b long, links long")
     found = materialize(found, "links")
+    discard(entries, members, labels)
     joined = components(found.select("a", "b"))
     links = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "id")
     known = materialize(links.join(joined, "id", "full").withColumnRenamed("id", "rep"), "known")

@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, word_hashes
+from .common import arrow_texts, raw_texts, slices, word_hashes
 
 _UPPER, _SMALL, _DIGIT = slice(65, 91), slice(97, 123), slice(48, 58)
 WIDTH = 128 + 14
 
 
-def shape_features(texts: list[str | None]) -> np.ndarray:
-    """A row of numbers per text, from all of it: the rate of each ASCII character, and rates of
+def shape_features(buf: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A row of numbers per text (bytes, and where each begins), from all of it: the rate of each ASCII character, and rates of
     letters, words, lines and repetition. Rates are damped, so that a text of a few words says little.
-    A null or empty text is all zeros but for its size."""
-    out = np.zeros((len(texts), WIDTH))
-    for lo, hi in slices(texts):
-        words, bounds = word_hashes(texts[lo:hi])
+    An empty text is all zeros but for its size."""
+    out = np.zeros((len(edges) - 1, WIDTH))
+    for lo, hi in slices(edges):
+        words, bounds = word_hashes(buf, edges[lo : hi + 1])
         for i in range(lo, hi):
-            raw = np.frombuffer((texts[i] or "").encode("utf-8", "replace"), np.uint8)
+            raw = buf[edges[i] : edges[i + 1]]
             n = len(raw) + 60
             of = np.bincount(raw, minlength=256)
             w = words[bounds[i - lo] : bounds[i - lo + 1]]
@@ -69,24 +67,29 @@ class Model:
         self.mean, self.scale, self.weights, self.cut, self.slope = mean, scale, weights, cut, slope
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        raw = ((shape_features(texts) - self.mean) / self.scale) @ self.weights
+        return self.scores(*raw_texts(texts))
+
+    def scores(self, buf: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        raw = ((shape_features(buf, edges) - self.mean) / self.scale) @ self.weights
         return 1 / (1 + np.exp(-np.clip((raw - self.cut) * self.slope, -30, 30)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 5_000) -> Model | None:
     """Learns from at most ``sample`` labelled rows of each label (those of the smallest hashes
     of their doc_id), never from held-out ones. None if either label is missing."""
-    named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
+    named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).distinct()
     ids = [named.where(f"quality = {q}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
     few = F.broadcast(ids[0].unionByName(ids[1]))  # 2 * sample rows at most
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id").select("text", "quality")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id")
 
     def measure(it):
-        for pdf in it:
-            x = shape_features([t if isinstance(t, str) else None for t in pdf["text"]]).astype("<f4")
-            yield pd.DataFrame({"x": [r.tobytes() for r in x], "quality": pdf["quality"]})
+        for batch in it:
+            x = shape_features(*arrow_texts(batch.column("text"))).astype("<f4")
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "x": pa.array([r.tobytes() for r in x], pa.binary()), "quality": batch.column("quality")})
 
-    got = texts.mapInPandas(measure, "x binary, quality int").toPandas()
+    # A doc_id that many rows repeat counts once, with one of its texts: at most 2 * sample rows reach the driver.
+    measured = texts.mapInArrow(measure, "doc_id long, x binary, quality int").groupBy("doc_id").agg(F.max(F.struct("x", "quality")).alias("m"))
+    got = measured.select("m.*").toPandas()
     good = got["quality"].to_numpy() == 1
     if not good.any() or good.all():
         return None
@@ -107,9 +110,9 @@ def _scored(docs: DataFrame, model: Model | None, text: str) -> Column:
         return F.lit(0.5)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value([t if isinstance(t, str) else None for t in texts]))
+    @F.arrow_udf(T.DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(shared.value.scores(*arrow_texts(texts)))
 
     return score(F.col(text))
 
