@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import shared_folder
+from .common import new_path, remove
 from .rans import Coder, frequencies
 from .tokens import encode_words
 
@@ -40,7 +39,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, size: int = 49_408, end: int =
     """Encodes docs (doc_id, text) in ascending doc_id order (nulls first; equal ids by text),
     each followed by the id ``end``, and writes them below path: tables ``blocks`` (a row per
     block: shard, block, the documents' ids and lengths, the compressed ids) and ``frequencies``.
-    Returns path, by default a new folder in the shared folder.
+    Returns path, by default a new folder in the shared one, which goes when the session ends.
 
     A null or empty text is its end id alone; repeated rows are written again; other columns are
     ignored; an empty table writes no blocks. Texts are dealt by ranges of doc_id, so a shard is
@@ -48,7 +47,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, size: int = 49_408, end: int =
     that brings it to ``block`` ids, so only one long document exceeds it. Uncompressed blocks go to
     a scratch table, for the frequencies are those of all documents; it is removed at the end."""
     spark = docs.sparkSession
-    path = path or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    path = path or new_path(spark, "tokens")
     kind = "<u2" if size <= 1 << 16 else "<u4"
     last = np.array([end], "<u4").tobytes()
 
@@ -95,8 +94,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, size: int = 49_408, end: int =
 
     raw.mapInPandas(encode, _BLOCKS).write.parquet(f"{path}/blocks")
     spark.createDataFrame(pd.DataFrame({"id": np.arange(size), "frequency": freq})).coalesce(1).write.parquet(f"{path}/frequencies")
-    scratch = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/raw")
-    scratch.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(scratch, True)
+    remove(spark, f"{path}/raw")
     return path
 
 
