@@ -37,3 +37,10 @@ def test_tables(docs, odd, empty):
 
 def test_all_columns_stay(odd):
     assert line_dedup(odd).columns == [*odd.columns, "n_lines", "n_dropped"]
+
+
+def test_clashing_names(odd):
+    more = odd.withColumn("n_lines", F.lit("mine")).withColumn("gone", F.lit(1)).withColumn("row", F.lit("r"))
+    out = line_dedup(more)
+    assert out.columns == [*more.columns, "n_dropped"] and {r.n_lines for r in out.collect()} == {"mine"}
+    assert line_dedup(more, counts=False).columns == more.columns

@@ -48,7 +48,7 @@ def check_packing(df, room, ids, out):
 
 
 def test_pack(docs, odd, empty, ids):
-    n, bound = check_packing(docs, 2048, ids, pack(docs, PATH, share=50).collect())
+    n, bound = check_packing(docs, 2048, ids, pack(docs, PATH).collect())
     assert n <= bound * 1.03 + 1
     n, bound = check_packing(odd, 64, ids, pack(odd, PATH, room=64).collect())
     assert n <= bound * 1.05 + 1

@@ -1,48 +1,76 @@
 import math
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from trellis.llm.embedding_dedup import near_duplicates
-from trellis.llm.top_k import quantized, top_k
+from trellis.llm.top_k import numbered, quantized, top_k
 
 NAN, INF = float("nan"), float("inf")
 ODD = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, None), (4, [NAN, 1.0]), (5, [INF, 1.0]), (6, [0.0, 0.0]), (7, [None, 1.0]), (8, [1e30, 1.0]), (None, [1.0, 2.0]), (100, [1.0, -2.0]), (200, [0.0, 0.0]), (9, [])]
 
 
 def brute_top(rows, k):
-    q = {d: [math.floor(1024 * x) for x in v] for d, v in rows}
+    """rows (vec_id, vector): every row of an id divisible by 100 against every other row."""
+    whole = [(d, {i: w for i, x in enumerate(v) if (w := math.floor(Fraction(1024) * Fraction(x)))}) for d, v in rows]
     out = []
-    for a in sorted(q):
+    for at, (a, q) in enumerate(whole):
         if a % 100 == 0:
-            best = sorted(((-sum(x * y for x, y in zip(q[a], q[b], strict=True)), b) for b in q if b != a))[:k]
+            best = sorted((-sum(x * c.get(i, 0) for i, x in q.items()), b) for other, (b, c) in enumerate(whole) if other != at)[:k]
             out += [(a, i + 1, b, -s) for i, (s, b) in enumerate(best)]
-    return out
+    return sorted(out)
 
 
 def got_top(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("sizes", [(1024, 16_384), (2, 7)])
+def searched(spark, rows, k=10, *sizes):
+    q = numbered(quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)))
+    return got_top(top_k(q.where("id % 100 = 0"), q, k, *sizes))
+
+
+@pytest.mark.parametrize("sizes", [(16_384, 1024), (7, 2)])
 def test_top_k(spark, sf, sizes):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
-    rows = quantized(df)
+    rows = numbered(quantized(df))
     out = top_k(rows.where("id % 100 = 0"), rows, 10, *sizes)
     assert [f.dataType.simpleString() for f in out.schema] == ["bigint", "int", "bigint", "bigint"]
-    assert got_top(out) == sorted(brute_top([(r.vec_id, [float(x) for x in r.embedding]) for r in df.collect()], 10))
+    assert got_top(out) == brute_top([(r.vec_id, [float(x) for x in r.embedding]) for r in df.collect()], 10)
 
 
 def test_top_k_ties_and_odd(spark):
     rows = [(i, [float(i % 3), 1.0, 0.0]) for i in range(300)]
-    q = quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4))
-    assert got_top(top_k(q.where("id % 100 = 0"), q, 10, 2, 50)) == sorted(brute_top(rows, 10))
-    odd = quantized(spark.createDataFrame(ODD, "vec_id long, embedding array<double>"))
-    out = top_k(odd.where("id % 100 = 0"), odd).collect()
-    assert {r.query_id for r in out} == {0, 100, 200} and {r.vec_id for r in out} <= {0, 1, 2, 6, 8, 9, 100, 200}
-    none = odd.limit(0)
-    assert top_k(none, odd).collect() == [] and top_k(odd, none).collect() == []
+    assert searched(spark, rows, 10, 50, 2) == brute_top(rows, 10)
+    some = [r for r in ODD if r[0] != 8]
+    fine = [(d, v) for d, v in some if d is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    assert searched(spark, some) == brute_top(fine, 10)
+    none = numbered(quantized(spark.createDataFrame([], "vec_id long, embedding array<double>")))
+    assert top_k(none, none).collect() == []
+
+
+def test_top_k_of_repeated_ids(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [3.0, 1.0]), (5, [2.0, 2.0]), (5, [2.0, 2.0]), (6, [0.5, 0.25])]
+    assert searched(spark, rows, 3) == brute_top(rows, 3)
+    assert searched(spark, rows, 10) == brute_top(rows, 10)
+
+
+def test_top_k_of_large_values(spark):
+    for big in (2e5, 1e6):
+        rows = [(0, [big, 1.0]), (1, [big, -3.5]), (2, [-big, 0.1]), (100, [1.0, big]), (3, [0.3, 7.0])]
+        assert searched(spark, rows) == brute_top(rows, 10)
+    # Norms forbid 64-bit sums here, but the scores fit.
+    rows = [(0, [3e9, 3e9]), (1, [3e9, -3e9]), (2, [1.0, 1e-3]), (100, [1e-3, 0.0]), (3, [-1e9, 1e9])]
+    assert searched(spark, rows) == brute_top(rows, 10)
+    # A component beyond 64 bits is exact; it comes last, so its score need not fit.
+    rows = [(0, [1.0, 2.0]), (1, [-1e30, 0.0]), (2, [1.0, 1.0]), (3, [1.0, 0.0])]
+    assert searched(spark, rows, 2) == brute_top(rows, 2)
+    with pytest.raises(Exception, match="fits no 64-bit integer"):
+        searched(spark, [(0, [1.0, 2.0]), (1, [1e30, 0.0])], 2)
 
 
 def brute_links(rows, cosine):
@@ -87,8 +115,42 @@ def test_all_probes_lose_nothing(spark):
     x = rng.normal(size=(500, 8))
     rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
     want = brute_links(rows, 0.9)
-    out = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cosine=0.9, rows_a_list=20).collect()}
-    assert out == want
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for how in ({"plain": 0, "probes": 500, "sigmas": 8, "rows_a_list": 20, "block": 16}, {}):
+        assert {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(df, cosine=0.9, **how).collect()} == want
+
+
+def test_recall_on_a_large_table(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(95_000, 64)).astype("f4")
+    near = np.repeat(x[:1000], 5, axis=0)
+    near = near + (rng.normal(size=near.shape) * rng.uniform(0.02, 0.25, (len(near), 1))).astype("f4")
+    every = np.concatenate([x, near])
+    rows = pa.table({"vec_id": np.arange(len(every)), "embedding": pa.FixedSizeListArray.from_arrays(every.ravel(), 64)})
+    pq.write_table(rows, tmp_path / "vectors.parquet", row_group_size=20_000)
+    df = spark.read.parquet(str(tmp_path / "vectors.parquet"))
+    planted = [*range(1000), *range(95_000, 100_000)]
+    want = brute_links([(i, every[i].astype(float)) for i in planted], 0.95)
+    out = {r.vec_id: r.n_links for r in near_duplicates(df).collect()}
+    found, true = sum(out.values()), sum(n for n, _ in want.values())
+    assert len(out) == len(every) and 0.97 * true <= found <= true
+
+
+def test_lengths_and_sizes(spark):
+    rows = [(i, [float(i % 7 + 1), 2.0, float(i)]) for i in range(40)] + [(100, [1.0, 2.0]), (101, [1.0, 2.01]), (102, [-1.0, 2.0])]
+    rows += [(200, [1e-200, 2e-200, 0.0, 0.0]), (201, [1e-200, 2.01e-200, 0.0, 0.0]), (202, [1e200, 2e200, 0.0, 0.0]), (203, [5e-324, 1e-323, 0.0, 0.0]), (204, [1e308, 0.0, 1e308, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for plain in (512, 2):
+        out = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(df, plain=plain).collect()}
+        assert [out[i] for i in (100, 101, 102)] == [(1, 100), (1, 100), (0, 102)]
+        assert [out[i] for i in (200, 201, 202, 203, 204)] == [(3, 200), (3, 200), (3, 200), (3, 200), (0, 204)]
+        assert {i: out[i] for i in range(40)} == brute_links(rows[:40], 0.95)
+
+
+def test_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (7, [0.0, 2.0]), (8, [1.0, 0.01]), (9, [-1.0, 0.0])]
+    out = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert out == [(1, 1, 1, True), (1, 1, 1, True), (7, 1, 1, False), (8, 1, 1, False), (9, 0, 9, True)]
 
 
 def test_odd_vectors(spark):

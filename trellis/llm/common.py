@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from ..scratch import discard, materialize, new_path, remove
 
@@ -31,6 +33,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """rows with rank: the place (from 0) of each among those of its group, by order. rows is a table that is read alike each time.
+
+    Rows are dealt by ranges of group, order and their own place in the table, so that neither a large group nor equal rows
+    share a task; each task counts as it streams, and counts of a group's tasks give where each begins."""
+    ranged = rows.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(group, *order, "nth").sortWithinPartitions(group, *order, "nth")
+
+    def count(it):
+        last, n = None, 0
+        for batch in it:
+            values = batch.column(group).to_pandas().to_numpy()
+            if not len(values):
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+            own = np.arange(len(values)) - np.repeat(starts, np.diff(np.append(starts, len(values))))
+            if last is not None and values[0] == last:
+                own[: starts[1] if len(starts) > 1 else len(own)] += n
+            last, n = values[-1], int(own[-1]) + 1
+            yield batch.append_column("own", pa.array(own))
+
+    placed = ranged.drop("nth").withColumn("task", F.spark_partition_id())
+    done = materialize(placed.mapInArrow(count, T.StructType([*placed.schema.fields, T.StructField("own", T.LongType())])), "ranked")
+    sizes = done.groupBy("task", group).agg(F.count("*").alias("n"))  # a row per task and group in it
+    before = F.coalesce(F.sum("n").over(W.partitionBy(group).orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    begins = materialize(sizes.select("task", group, before.alias("before")), "begins")
+    return done.join(begins, ["task", group]).withColumn("rank", F.col("before") + F.col("own")).drop("task", "before", "own")
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-cases A-Z alone. lower() is quicker and does the same where every character is one byte."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

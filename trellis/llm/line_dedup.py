@@ -13,7 +13,7 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")))
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 10, keep_first: bool = True) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 10, keep_first: bool = True, counts: bool = True) -> DataFrame:
     """docs (doc_id, text, ...) with text less the lines that at least min_docs documents hold.
 
     Lines end at \\n. Lines are the same if their keys are, of at least min_chars code points.
@@ -21,7 +21,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 10, keep_fir
     others stay in place. All columns of docs stay, then n_lines (before), n_dropped.
     A null or empty text is one empty line and comes out empty. A row without doc_id keeps all
     lines and counts for none. Rows that repeat a doc_id count as one document. An empty table
-    gives no rows. Columns of docs of any name but n_lines and n_dropped are left alone.
+    gives no rows. Columns of docs of any name are left alone; where docs itself has an n_lines or n_dropped, that column
+    stays and the new one is left out. Without counts the columns are those of docs.
 
     Exploded lines shuffle as two hashes (128 bits), document and position, never as text; the
     counts combine before the shuffle, and lines meet the repeated keys in a join whose skewed
@@ -51,4 +52,6 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 10, keep_fir
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
     texts = F.array_join("kept", "\n")
-    return done.select(*[(texts if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns], "n_lines", F.when(F.col("n_dropped") < 0, 0).otherwise(F.col("n_dropped")).alias("n_dropped"))
+    added = [c for c in ("n_lines", "n_dropped") if counts and c not in docs.columns]
+    done = done.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)))
+    return done.select(*[(texts if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns], *added)

@@ -4,92 +4,66 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import WORD_CLASS, materialize
+from .common import WORD_CLASS, materialize, ranked
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], share: float, most: float) -> list[float]:
-    """Targets of sources given by size: weights repeat over the sources by code point, null last;
-    together share of all sizes; none over most times its size, the excess going to the others by weight."""
-    order = sorted(range(len(sizes)), key=lambda i: (sizes[i][0] is None, sizes[i][0] or ""))
-    weight = {i: float(weights[k % len(weights)]) for k, i in enumerate(order)}
-    rest, open_, out = share * sum(n for _, n in sizes), set(order), dict.fromkeys(order, 0.0)
-    while open_:
-        total = sum(weight[i] for i in sorted(open_))
-        full = [i for i in sorted(open_) if rest * weight[i] / total >= most * sizes[i][1]]
-        if not full:
-            for i in open_:
-                out[i] = rest * weight[i] / total
-            break
-        for i in full:
-            out[i] = most * sizes[i][1]
-            open_.remove(i)
-        rest = max(0.0, rest - sum(out[i] for i in full))
-    return [out[i] for i in range(len(sizes))]
+def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """sizes (source, source_size), a row per source, with target: weights repeat over the sources by code point, null last;
+    targets are together share of all sizes; none is over most times its size, the excess going to the others by weight.
 
+    Sources meet their cap in order of cap over weight: one does if the water that those before it leave, shared by
+    weight, reaches its cap. Where all do (share above most), all targets are caps. What passes through one task is a row per source."""
+    every = W.partitionBy()
+    number = F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1
+    cap = F.col("source_size") * float(most)
+    at = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (number % len(weights) + 1).cast("int"))).withColumn("cap", cap)
+    order = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
+    before = F.coalesce(F.sum("cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    after = F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing))
+    at = at.withColumn("total", share * F.sum("source_size").over(every)).withColumn("full", (F.col("total") - before) * F.col("weight") / after >= F.col("cap"))
+    rest = F.col("total") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(every)
+    open_ = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).over(every)
+    return at.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(rest * F.col("weight") / open_).alias("target"))
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 1, offsets: int = 64, bucket: int = 50_000) -> DataFrame:
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 1) -> DataFrame:
     """docs (doc_id, text, source, ...) with row_key (a hash of doc_id, text and source that names
     a row's content), size (words), source_size, target (both its source's), copies, taken
     (size * copies); texts and other columns are not in the result.
 
-    A source's documents all expect target / source_size copies. They stand in order of size,
+    A source's documents all expect target / source_size copies. They stand in order of size (then doc_id),
     every other stratum of one expected copy turned round so that errors of neighbours cancel;
     a document is taken once for each integer that its stretch of the prefix sum of expected
-    copies, plus the source's one random offset, crosses. The offset is the one of ``offsets``
-    seeded draws whose words come nearest to the target. Draws depend on the seed and
-    the source's name only, so reruns agree.
+    copies, plus the source's one random offset, crosses. The offset comes from an MD5 of the seed and
+    the source's name, so reruns agree.
 
     A null or empty text has size 0 and, as any other document, 0 to 2 copies. A null source is
     a source of its own, the last. Null doc_ids and repeated rows are rows like others. A
     source of size 0 has target 0 and is not taken. An empty table gives no rows.
 
-    Ranks come from counts of buckets of about ``bucket`` rows by size and hash, so that no
-    source is sorted in one task. What reaches the driver is a row per source."""
-    spark = docs.sparkSession
+    Expected copies are alike within a source, so prefix sums are ranks times the rate; ranks come from counts of ranges, and no
+    source is sorted in one task. Nothing reaches the driver."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", F.coalesce("text", F.lit("")), "source").alias("row_key")
     )
-    rows = materialize(rows, "sizes")
-    totals = [(r["source"], int(r["n"]), int(r["size"] or 0)) for r in rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()]
-    goal = targets([(s, size) for s, _, size in totals], weights, share, most)
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("rate", T.DoubleType()), T.StructField("split", T.LongType())])
-    plan = spark.createDataFrame([(s, size, t, t / size if size else 0.0, 1 + n // bucket) for (s, n, size), t in zip(totals, goal, strict=True)], schema)
-
-    def named(df: DataFrame) -> DataFrame:
-        return df.withColumn("name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
-
-    small = F.broadcast if len(totals) <= 50_000 else (lambda df: df)  # a row per source
-
-    # Sizes are shuffled without texts. A source's size classes are split by hash into as many buckets as it has bucket-fuls.
-    rows = named(rows).join(small(named(plan).drop("source")), "name").withColumn("level", F.floor(F.log2(F.col("size") + 1) * 16).cast("long")).withColumn("part", F.pmod("row_key", "split"))
-    place = ["name", "level", "part"]
-    rows = rows.repartition(*place)  # a join by source alone would leave a source in one task
-    counts = rows.groupBy(place).agg(F.count("*").alias("n"))
-    begins = counts.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("name").orderBy("level", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    ranks = rows.withColumn("own", F.row_number().over(W.partitionBy(place).orderBy("size", "row_key", "doc_id"))).join(begins, place).withColumn("rank", F.col("before") + F.col("own") - 1)
+    rows = materialize(rows.withColumn("name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))), "sizes")
+    plan = targets(rows.groupBy("source", "name").agg(F.sum("size").alias("source_size")).select("source", "source_size"), weights, share, most)
+    plan = plan.withColumn("name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))).drop("source").withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "name").cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
+    plan = materialize(plan.withColumn("offset", draw), "plan")  # a row per source
     # The expected copies beyond whole ones; strata hold one expected copy each, and odd ones are turned round.
-    part = F.col("rate") - F.floor("rate")
-    ranks = ranks.withColumn("part", part)
+    ranks = ranked(rows, "name", ["size", "doc_id", "row_key"]).join(plan, "name").withColumn("part", F.col("rate") - F.floor("rate"))
     stratum = F.floor(F.col("rank") * F.col("part"))
     first, after = F.ceil(stratum / F.col("part")), F.ceil((stratum + 1) / F.col("part"))
-    turned = F.when((F.col("part") > 0) & (stratum % 2 == 1), first + after - 1 - F.col("rank")).otherwise(F.col("rank"))
-    ranks = materialize(ranks.withColumn("rank", turned.cast("long")).drop("level", "own", "before", "split"), "ranks")
-
-    def copies(offset: Column) -> Column:
-        crossed = F.floor((F.col("rank") + 1) * F.col("part") + offset) - F.floor(F.col("rank") * F.col("part") + offset)
-        return (F.floor("rate") + crossed).cast("long")
-
-    draws = [F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("name")), F.lit(1 << 40)) / float(1 << 40) for k in range(offsets)]
-    tried = ranks.groupBy("name", "target").agg(*[F.sum(F.col("size") * copies(d)).alias(f"t{k}") for k, d in enumerate(draws)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")), d) for k, d in enumerate(draws)]))["col2"]
-    chosen = ranks.join(small(tried.select("name", best.alias("offset"))), "name").withColumn("copies", copies(F.col("offset")))
+    ranks = ranks.withColumn("at", F.when((F.col("part") > 0) & (stratum % 2 == 1), first + after - 1 - F.col("rank")).otherwise(F.col("rank")))
+    crossed = F.floor((F.col("at") + 1) * F.col("part") + F.col("offset")) - F.floor(F.col("at") * F.col("part") + F.col("offset"))
+    chosen = ranks.withColumn("copies", (F.floor("rate") + crossed).cast("long"))
     return chosen.select("doc_id", "source", "row_key", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 

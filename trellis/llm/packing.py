@@ -8,9 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .common import materialize
+from .common import materialize, ranked
 from .tokens import encode_words
 
 
@@ -115,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = 2048, end: int = 0, with
     return rows.mapInPandas(cut, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, room: int = 2048, end: int = 0, step: int = 16, share: int = 50_000, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, room: int = 2048, end: int = 0, step: int = 16, with_ids: bool = False) -> DataFrame:
     """Packs all documents into sequences of at most room tokens: pieces() with sequence_id and
     offset. Only documents longer than room are cut. A null or empty text is its end id alone.
     A null doc_id stays null, repeated rows are documents of their own, other columns are
@@ -124,8 +123,8 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 2048, end: int = 0, step:
     The driver sees a histogram of room lengths and plans on it (patterns of up to three lengths
     fitted by non-negative least squares, rounded; best fit for the rest). The plan's runs
     depend on room, not on the number of pieces, so they go to all tasks. Pieces are numbered
-    within their length by counts of buckets of about ``share``; a length that most
-    pieces have, as full ones, is dealt over many buckets."""
+    within their length by ranges, so that a length that most
+    pieces have, as full ones, and equal pieces of rows without doc_id are dealt over many tasks."""
     spark = docs.sparkSession
     cut = materialize(pieces(docs, tokenizer, room, end, with_ids), "pieces")
     lengths = cut.groupBy("length").agg(F.count("*").alias("n")).collect()
@@ -133,12 +132,7 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 2048, end: int = 0, step:
     for r in lengths:
         histogram[r["length"]] = r["n"]
     runs, _ = plan(histogram, room, step)
-    buckets = 1 + int(histogram.sum()) // share
-    keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    count = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    base = count.select("length", "bucket", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    number = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1 + F.col("base")
-    keyed = keyed.join(base, ["length", "bucket"]).withColumn("number", number)
+    keyed = ranked(cut, "length", ["doc_id", "piece", "ids_crc32"]).withColumnRenamed("rank", "number")
     table = spark.createDataFrame(pd.DataFrame(runs or [(0, 0, 0, 0, 0)], columns=["length", "first", "count", "sequence", "offset"]))
     # A run's pieces are found by length and cell: runs are cut at multiples of the cell width.
     wide = max(1, int(histogram.max()) // 64)

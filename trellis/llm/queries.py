@@ -16,7 +16,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = top_k.quantized(table(spark, sf_dir, "embeddings"))
+    rows = top_k.numbered(top_k.quantized(table(spark, sf_dir, "embeddings")))
     return top_k.top_k(rows.where("id % 100 = 0"), rows, k=10)
 
 
@@ -60,7 +60,59 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_top_k, op2_ngram_jaccard_join, op3_best_fit_packing, op4_license_scan, op5_embedding_near_dedup, op6_token_files, op7_quality_classifier, op8_line_dedup, op9_source_mixing, op10_toxicity)}
 
+
+
+def _license_sql(k: int = 4, cover: float = 0.75, gap: int = 2) -> str:
+    """The scan over words as texts: grams joined with the same templates, votes by diagonal and its neighbours."""
+    rows = ", ".join(f"('{g}', {t}, {at}, '{label}', {base}, {size}, {keys}::integer[])" for g, t, at, label, base, size, keys in license_scan.template_rows(license_scan.NOTICES, k))
+    sizes = sorted({len(r[0].split()) for r in license_scan.template_rows(license_scan.NOTICES, k)})
+    return rf"""
+with templates(gram, t, pos, label, base, size, keys) as (values {rows}),
+w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+g as (select doc_id, unnest(range(1, len(w) + 1)) as i, w from w),
+n as ({" union all ".join(f"select doc_id, i - 1 as place, array_to_string(w[i : i + {s - 1}], ' ') as gram from g where i + {s - 1} <= len(w)" for s in sizes)}),
+hits as (select doc_id, place - pos as diagonal, t, pos, label, base, size, keys from n join templates using (gram)),
+near as (select doc_id, t, label, size, keys, pos, unnest(range(diagonal - {gap}, diagonal + {gap + 1})) as diagonal from hits where not base),
+spans as (select doc_id, t, diagonal, label, size, keys, list_distinct(flatten(list([pos{"".join(f", pos + {j}" for j in range(1, k))}]))) as covered from near group by all),
+judged as (select doc_id, label, len(covered) / size as share, len(covered) / size >= {cover} and len([x for x in keys if not list_contains(covered, x)]) = 0 as good from spans),
+b as (select doc_id, count(*) as n_base, min(diagonal) as first_word, max(diagonal) as last_word, string_agg(distinct label, ',' order by label) as base_labels from hits where base group by doc_id),
+labels as (select doc_id, label from hits where base union select doc_id, label from judged where good),
+l as (select doc_id, string_agg(label, ',' order by label) as labels from labels group by doc_id),
+s as (select doc_id, max(share) as score from judged group by doc_id)
+select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word,
+  coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, case when n_base > 0 then 1.0::double else coalesce(score, 0.0::double) end as score
+from w left join b using (doc_id) left join l using (doc_id) left join s using (doc_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_license_scan": _license_sql(),
+    "op5_embedding_near_dedup": """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+  where vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0 and len([x for x in embedding if x <> 0]) > 0),
+l as (select x.vec_id as a, y.vec_id as b from v x join v y on x.vec_id <> y.vec_id and len(x.e) = len(y.e) where list_cosine_similarity(x.e, y.e) >= 0.95),
+r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, least(a, min(b)) as component_id from r group by a),
+n as (select a, count(*) as n_links from l group by a)
+select vec_id, coalesce(n_links, 0) as n_links, coalesce(component_id, vec_id) as component_id, vec_id = coalesce(component_id, vec_id) as kept
+from embeddings left join c on c.a = vec_id left join n on n.a = vec_id""",
+    "op9_source_mixing": r"""
+with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
+s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+w as (select *, cast([3, 1, 2][(row_number() over (order by source is null, source) - 1) % 3 + 1] as double) as weight, 2.0::double * source_size as cap from s),
+f as (select *, 1.5::double * sum(source_size) over () as total,
+    coalesce(sum(cap) over (order by cap / weight, source is null, source rows between unbounded preceding and 1 preceding), 0.0::double) as before,
+    sum(weight) over (order by cap / weight, source is null, source rows between current row and unbounded following) as after from w),
+g as (select *, (total - before) * weight / after >= cap as full_ from f),
+p as (select source, source_size, case when full_ then cap
+    else (total - sum(case when full_ then cap else 0.0::double end) over ()) * weight / sum(case when full_ then 0.0::double else weight end) over () end as target from g),
+q as (select *, case when source_size > 0 then target / source_size else 0.0::double end as rate,
+    cast('0x' || substr(md5('1:' || coalesce('s' || source, 'null')), 1, 8) as bigint) / 4294967296.0::double as u from p),
+r as (select d.doc_id, d.size, q.source_size, q.target, q.rate, q.u, q.rate - floor(q.rate) as part,
+    row_number() over (partition by d.source order by d.size, d.doc_id) - 1 as rank from d join q on d.source is not distinct from q.source),
+a as (select *, case when part > 0 and floor(rank * part) % 2 = 1 then ceil(floor(rank * part) / part) + ceil((floor(rank * part) + 1) / part) - 1 - rank else rank end as pos from r),
+c as (select *, cast(floor(rate) + floor((pos + 1) * part + u) - floor(pos * part + u) as bigint) as copies from a)
+select doc_id, size, source_size, target, size * copies as taken, copies from c""",
     "op1_exact_top_k": """
 with v as (
   select vec_id, [cast(floor(1024 * cast(x as double)) as bigint) for x in embedding] as e from embeddings
