@@ -1,4 +1,8 @@
-"""A pipeline over documents: quality, repeated lines, near copies, mixing, packing."""
+"""A pipeline over documents: quality, repeated lines, near copies, mixing, packing.
+
+Null and empty texts pass each stage as texts without words; null doc_ids have no copies and share no lines; repeated rows
+are rows of their own, but near copies keeps all rows of the doc_id that stays; an empty table gives an empty result; columns of documents of any
+name pass through the first four stages untouched."""
 
 from __future__ import annotations
 
@@ -16,7 +20,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the lines that a smaller doc_id holds."""
-    return line_dedup.line_dedup(docs).select(*docs.columns)
+    return line_dedup.line_dedup(docs, counts=False)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 from collections import deque
+from dataclasses import dataclass
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,10 +8,9 @@ from pyspark.sql import functions as F
 from trellis.errors import Conflict, CorruptData, InvalidArgument, LimitExceeded, NotFound
 from trellis.functions import SCALAR, scalar
 from trellis.graph import Graph
-from trellis.operators import Changes, Walk, apply_changes, expanded_edges, find_nodes, get_edge, get_node, inspect_edges, inspect_indexes, inspect_nodes, paths, verify, walk
-from trellis.operators.scan import one
-from trellis.operators.traverse import reach
-from trellis.sources import load, save
+from trellis.limits import STRICT, Limits
+from trellis.operators import Changes, Walk, apply_changes, expanded_edges, find_nodes, get_edge, get_node, inspect, inspect_edges, inspect_indexes, inspect_nodes, one, paths, reach, verify, walk
+from trellis.sources import load, save, star_graph
 from trellis.sources.store import drop_old, generations
 
 
@@ -110,14 +110,17 @@ def test_many_starts(spark, diamond):
 
 
 def test_limits(diamond):
+    for how in ({"depth": 17}, {"limit": 10_001}, {"depth": 3, "limits": Limits(edges=3)}):
+        with pytest.raises(LimitExceeded):
+            walk(diamond, "a", **{"limits": STRICT, **how})
     with pytest.raises(LimitExceeded):
-        walk(diamond, "a", depth=17)
-    with pytest.raises(LimitExceeded):
-        walk(diamond, "a", limit=10_001)
+        apply_changes(diamond, Changes().create_index("N", "a").create_index("N", "b"), limits=Limits(changes=1))
+    assert walk(diamond, "a", "E", depth=3, limits=Limits(edges=6)).count() == 3
     with pytest.raises(LimitExceeded):
         expanded_edges(diamond, "a", depth=3, most=3)
-    with pytest.raises(InvalidArgument):
-        walk(diamond, "a", depth=-1)
+    assert walk(diamond, "a", depth=-1).collect() == [] == walk(diamond, "a", limit=-1).collect() == find_nodes(diamond, "N", limit=-1).collect()
+    free = walk(diamond, "a", "E", depth=20, limit=None)
+    assert {(r.id, r.depth, r["rank"]) for r in free.collect()} == {("b", 1, None), ("c", 1, None), ("d", 2, None)}
 
 
 def test_builder(diamond):
@@ -145,11 +148,11 @@ def test_point_reads_and_pages(spark, diamond):
             one(none)
     assert [r.id for r in inspect_nodes(diamond, "a", 2).collect()] == ["b", "c"]
     keys, after = [], None
-    while page := [r.key for r in inspect_edges(diamond, after, 3).collect()]:
+    while page := [r.id for r in inspect_edges(diamond, after, 3).collect()]:
         keys, after = keys + page, page[-1]
     assert keys == sorted(key(*e).decode() for e in DIAMOND[1])
     with pytest.raises(InvalidArgument):
-        inspect_nodes(diamond, limit=101)
+        inspect(diamond, "node", limit=101)
     assert [tuple(r) for r in inspect_indexes(diamond.with_index("N", "p").with_index("N", "p")).collect()] == [("N", "p")]
 
 
@@ -207,3 +210,52 @@ def test_store(spark, diamond, tmp_path):
     with pytest.raises(Conflict):
         save(g, path)
     assert drop_old(spark, path, 1) == [1] and generations(spark, path) == [2]
+
+
+@dataclass
+class Turned:
+    id: str
+    label: str
+    missing: str | None
+
+
+def test_typed_walk(diamond):
+    assert Walk(diamond, "a").out("E").depth(3).limit(2).collect_as(Turned) == [Turned("b", "N", None), Turned("c", "N", None)]
+
+
+def test_mixed_properties(spark):
+    a = frame(spark, [("x", 1, "s")], "id string, p long, q string")
+    g = Graph(spark).with_nodes("A", a).with_nodes("B", frame(spark, [("y", 1.0, "t")], "id string, p double, q string")).with_edges("E", frame(spark, [("x", "y", True)], "from string, to string, w boolean"))
+    got = {r.id: (r.p, r.q, r.nothing) for r in walk(g, "x", fields=["id", "p", "q", "nothing"]).unionByName(walk(g, "y", direction="in", fields=["id", "p", "q", "nothing"]), True).collect()}
+    assert got["y"][1:] == ("t", None) and got["x"][1:] == ("s", None)
+    hops = paths(g, "x", whole=True).orderBy("hop").collect()
+    assert [h["at"].properties for h in hops] == [{"p": "1", "q": '"s"'}, {"p": "1.0", "q": '"t"'}] and hops[0].edge is None and hops[1].edge.properties == {"w": "true"}
+    assert [r["at"].p for r in paths(g, "x", fields=["p"]).orderBy("hop").collect()] == ["1", "1.0"]
+
+
+def test_saved_finds_skip_by_the_index(spark, tmp_path):
+    rows = spark.range(2000).select(F.concat(F.lit("n"), "id").alias("id"), (F.col("id") % 10).alias("p"))
+    save(Graph(spark).with_nodes("N", rows).with_index("N", "p"), str(tmp_path / "g"))
+    g = load(spark, str(tmp_path / "g"))
+    files = g.nodes["N"].select(F.input_file_name().alias("f"), "p").groupBy("p").agg(F.countDistinct("f").alias("n")).collect()
+    assert max(r.n for r in files) <= 2 and find_nodes(g, "N", ("p", "=", 3), None).count() == 200
+
+
+def test_changes_after_changes_and_on_star_tables(spark, sf):
+    g = star_graph(spark, sf)
+    ids = frame(spark, [("customer:1",)], "id string")
+    orders = g.edges["PLACED"].where("`from` = 'customer:1'").count()
+    after = apply_changes(g, Changes().delete_nodes(ids).upsert_nodes("Customer", ids).delete_nodes(frame(spark, [("order:1",)], "id string")))
+    assert g.edges["PLACED"].count() - after.edges["PLACED"].count() in (orders, orders + 1)
+    assert "Part" in after.keyed and "SUPPLIED_BY" in after.links and "Customer" not in after.keyed and "PLACED" not in after.links
+    assert one(get_node(after, "customer:1")).version == 1 and get_node(after, "order:1").isEmpty()
+    assert walk(after, "customer:1", depth=2).isEmpty()
+
+
+def test_first_level_and_point_reads_push_their_keys(spark, sf):
+    g = star_graph(spark, sf)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    text = plan(walk(g, "customer:1", depth=2))
+    assert text.count("FileScan") < 30 and "EqualTo(o_custkey,1)" in text and "EqualTo(user_id,1)" in text
+    assert "EqualTo(p_partkey,7)" in plan(get_node(g, "part:7")) and plan(get_node(g, "part:7")).count("FileScan") == 1
+    assert "EqualTo(l_orderkey,1)" in plan(get_edge(g, "CONTAINS", "order:1", "part:2"))

@@ -27,5 +27,9 @@ class CorruptData(GraphError):
     code = "corruptData"
 
 
+class UnsupportedVersion(GraphError):
+    code = "unsupportedVersion"
+
+
 class Closed(GraphError):
     code = "closed"

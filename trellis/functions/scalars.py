@@ -48,7 +48,7 @@ def scalar(value: Any) -> Column:
     return F.struct(F.lit(kind).alias("t"), *[(F.lit(value) if f.name == field else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCALAR.fields[1:]])
 
 
-def _kind(dtype: T.DataType) -> str:
+def property_kind(dtype: T.DataType) -> str:
     if isinstance(dtype, T.BooleanType):
         return "bool"
     if isinstance(dtype, T.ByteType | T.ShortType | T.IntegerType | T.LongType):
@@ -117,7 +117,7 @@ def passes(c: Column, dtype: T.DataType, op: str, value: Any) -> Column:
                 found = found | ((c["t"] == kind) & one)
         return found
     kind_of(value)
-    one = None if value is None else _same_kind(c, _kind(dtype), op, value)
+    one = None if value is None else _same_kind(c, property_kind(dtype), op, value)
     return F.lit(False) if one is None else one
 
 

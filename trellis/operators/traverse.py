@@ -4,125 +4,210 @@ A reached node's path is the array of edge keys that leads to it; of all shortes
 smallest array is the one that a queue which visits edges in key order finds first, and (depth,
 array) orders nodes as that queue does. So each level is one join of the frontier with the edges
 and one minimum by node, which combines before it shuffles, however many starts there are and
-however many edges a hub has."""
+however many edges a hub has.
+
+Where edge types have links, the frontier is kept by label: a level reads only types that leave the labels
+reached, joins native keys, and looks up only the labels that they lead to; the first level's key is a literal that the scan sees."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..errors import InvalidArgument, LimitExceeded
-from ..graph import Graph
+from ..functions import edge_key
+from ..graph import Graph, _union, ends
+from ..limits import STRICT, Limits
+from ..scratch import materialize
+from .objects import edge_objects, node_objects
 
-MOST_DEPTH, MOST_RESULTS = 16, 10_000
-#: Levels that stay one query; beyond, every such number of levels is written to the checkpoint folder.
+#: Levels that stay one query; beyond, every such number of levels is written to the shared folder.
 LEVELS_A_QUERY = 3
+_TAKEN = "id string, label string, depth int, keys array<string>, rank long"
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Ends lineage: in spark.checkpoint.dir, or a folder of our own where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-checkpoints-")
-        context.setCheckpointDir(f"{folder}/{uuid.uuid4().hex}")
-    return df.checkpoint()
+def _keys(ordered: bool) -> Column:
+    return (F.array() if ordered else F.lit(None)).cast("array<string>")
 
 
-def _check(depth: int, limit: int | None) -> None:
-    if depth < 0 or (limit is not None and limit < 0):
-        raise InvalidArgument("depth and limit are not negative")
+def _longer(ordered: bool, key: Column) -> Column:
+    return F.concat("keys", F.array(key)) if ordered else F.lit(None).cast("array<string>")
 
 
-def reach(graph: Graph, starts: DataFrame, over: str | None = None, direction: str = "out", depth: int = 1, ordered: bool = True) -> DataFrame:
-    """starts (id) to (start, id, depth, keys): every node that depth edges or fewer lead to from
-    each start, the start itself left out, at its shortest depth. keys is the canonical path,
-    null unless ordered. Nodes that don't exist are neither reached nor crossed."""
-    _check(depth, None)
+def _by_name(graph: Graph, first: DataFrame, over: str | None, direction: str, depth: int, ordered: bool) -> DataFrame:
+    """reach over ids, for graphs whose edge types don't tell the labels that they join. first: the starts that exist (id)."""
     exist = graph.node_ids().select("id")
     edges = graph.adjacency(over, direction, ordered)
-    first = starts.select("id").join(exist, "id").distinct()
-    keys = F.array().cast("array<string>") if ordered else F.lit(None).cast("array<string>")
-    best = first.select(F.col("id").alias("start"), "id", F.struct(F.lit(0).alias("depth"), keys.alias("keys")).alias("at"))
+    best = first.select(F.col("id").alias("start"), "id", F.struct(F.lit(0).alias("depth"), _keys(ordered).alias("keys")).alias("at"))
     for level in range(1, depth + 1):
         longer = F.concat("at.keys", F.array("key")) if ordered else F.lit(None).cast("array<string>")
         found = best.where(F.col("at.depth") == level - 1).join(edges, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id"), F.struct(F.lit(level).alias("depth"), longer.alias("keys")).alias("at"))
         found = found.join(exist, "id").select("start", "id", "at")  # the frontier meets nodes, so that only reached ids are looked up
         best = best.unionByName(found).groupBy("start", "id").agg(F.min("at").alias("at"))
         if level % LEVELS_A_QUERY == 0 and level < depth:
-            best = _cut(best)
+            best = materialize(best, "walk")
             if best.where(F.col("at.depth") == level).isEmpty():
                 break
     return best.where("at.depth > 0").select("start", "id", F.col("at.depth").alias("depth"), F.col("at.keys").alias("keys"))
 
 
-def _start(graph: Graph, start: str) -> DataFrame:
-    """One row of known size, so that the first joins broadcast it."""
-    return graph.spark.range(1).select(F.lit(start).alias("id"))
+def _by_label(graph: Graph, label: str, first: DataFrame | int | str, over: str | None, direction: str, depth: int, ordered: bool) -> dict[str, DataFrame]:
+    """reach over native keys: (start, key, depth, keys) by label. first: the one start's key, or starts that exist (key)."""
+    one = not isinstance(first, DataFrame)
+    frontier = {} if one else {label: first.select(F.col("key").alias("start"), "key", _keys(ordered).alias("keys"))}
+    reached: dict[str, list[DataFrame]] = {}
+    for level in range(1, depth + 1):
+        found: dict[str, list[tuple[DataFrame, bool]]] = {}
+        for kind in graph.kinds(over):
+            for link in graph.links[kind]:
+                (a, b, src, dst, end) = (link.source, link.target, "src", "dst", "target") if direction == "out" else (link.target, link.source, "dst", "src", "source")
+                literal = one and level == 1
+                if a != label if literal else a not in frontier:
+                    continue
+                key = edge_key(graph.keyed[link.source].encode(F.col("src")), F.lit(kind), graph.keyed[link.target].encode(F.col("dst")))
+                edges = link.table.select("src", "dst")
+                if literal:
+                    step = edges.where(F.col(src) == F.lit(first)).withColumn("start", F.col(src)).withColumn("keys", _keys(ordered))
+                else:
+                    step = frontier[a].withColumnRenamed("key", src).join(edges, src)
+                step = step.select("start", F.col(dst).alias("key"), _longer(ordered, key).alias("keys"))
+                found.setdefault(b, []).append((step, end in link.sure))
+        frontier = {}
+        for b, steps in found.items():
+            step = _union(graph.spark, [s for s, _ in steps], "")
+            if not all(sure for _, sure in steps):
+                step = step.join(graph.keyed[b].table.select("key"), "key")
+            if b == label:
+                step = step.where(F.col("key") != F.col("start"))
+            step = step.groupBy("start", "key").agg(F.min("keys").alias("keys"))
+            for before in reached.get(b, []):
+                step = step.join(before, ["start", "key"], "left_anti")
+            frontier[b] = step
+        if level % LEVELS_A_QUERY == 0 and level < depth:
+            frontier = {b: materialize(step, "walk") for b, step in frontier.items()}
+            frontier = {b: step for b, step in frontier.items() if not step.isEmpty()}
+        for b, step in frontier.items():
+            reached.setdefault(b, []).append(step.withColumn("depth", F.lit(level)))
+        if not frontier:
+            break
+    return {b: _union(graph.spark, steps, "") for b, steps in reached.items()}
 
 
-def _taken(graph: Graph, start: str, over, direction, depth, limit, strict) -> DataFrame:
-    _check(depth, limit)
-    if strict and (depth > MOST_DEPTH or (limit or 0) > MOST_RESULTS):
-        raise LimitExceeded(f"a walk has at most {MOST_DEPTH} levels and {MOST_RESULTS} results")
-    starts = _start(graph, start)
+def reach(graph: Graph, starts: DataFrame, over: str | None = None, direction: str = "out", depth: int = 1, ordered: bool = True, label: str | None = None) -> DataFrame:
+    """starts (id) to (start, id, depth, keys): every node that depth edges or fewer lead to from
+    each start, the start itself left out, at its shortest depth. keys is the canonical path,
+    null unless ordered. Nodes that don't exist are neither reached nor crossed. label: that of all starts, if they share one."""
+    ends(direction)
+    if label in graph.keyed and graph.linked(over):
+        at = graph.keyed[label]
+        first = starts.select(at.decoded(F.col("id")).alias("key")).join(at.table.select("key"), "key").distinct()
+        parts = _by_label(graph, label, first, over, direction, max(0, depth), ordered)
+        each = [df.select(at.encode(F.col("start")).alias("start"), graph.keyed[b].encode(F.col("key")).alias("id"), "depth", "keys") for b, df in parts.items()]
+        return _union(graph.spark, each, "start string, id string, depth int, keys array<string>")
+    return _by_name(graph, starts.select("id").join(graph.node_ids().select("id"), "id").distinct(), over, direction, max(0, depth), ordered)
+
+
+def _found(graph: Graph, start: str, over, direction, depth: int) -> DataFrame:
+    """id, label, depth, keys of all that a walk from one node reaches."""
+    if graph.linked(over):
+        for label, at in graph.keyed.items():
+            key = at.decode(start)
+            if key is not None and not at.table.where(F.col("key") == F.lit(key)).isEmpty():
+                parts = _by_label(graph, label, key, over, direction, depth, True)
+                return _union(graph.spark, [df.select(graph.keyed[b].encode(F.col("key")).alias("id"), F.lit(b).alias("label"), "depth", "keys") for b, df in parts.items()], "id string, label string, depth int, keys array<string>")
+        return graph.spark.createDataFrame([], "id string, label string, depth int, keys array<string>")
+    first = graph.node_ids().select("id").where(F.col("id") == start).distinct()
+    return _by_name(graph, first, over, direction, depth, True).join(graph.node_ids(), "id").select("id", "label", "depth", "keys")
+
+
+def _taken(graph: Graph, start: str, over, direction, depth: int, limit: int | None, limits: Limits | None) -> DataFrame:
+    """What a walk gives, with rank: the place in discovery order, null where there is no limit (a rank of
+    all would put them through one task; depth and keys order them)."""
+    ends(direction)
+    depth, limit = max(0, depth), None if limit is None else max(0, limit)
+    if limits is not None:
+        limits.check(depth=depth, results=limit or 0)
+        if limit is None:
+            raise InvalidArgument("a walk without a limit needs limits=None")
     if depth == 0 or limit == 0:
-        return graph.spark.createDataFrame([], "id string, depth int, keys array<string>, rank long")
-    found = reach(graph, starts, over, direction, depth).select("id", "depth", "keys")
-    if limit is not None:
-        found = found.orderBy("depth", "keys").limit(limit)
-    return found.withColumn("rank", F.row_number().over(W.orderBy("depth", "keys")).cast("long"))
-
-
-def walk(graph: Graph, start: str, over: str | None = None, direction: str = "out", depth: int = 1, limit: int = 100, strict: bool = True) -> DataFrame:
-    """rank, id, label, depth of the first limit nodes that a breadth-first walk discovers. Depth 0,
-    limit 0 and an unknown start give no rows. strict holds depth and limit to the fixed ceilings."""
-    taken = _taken(graph, start, over, direction, depth, limit, strict)
-    return taken.join(graph.node_ids(), "id").select("rank", "id", "label", F.col("depth").cast("long").alias("depth"))
-
-
-def paths(graph: Graph, start: str, over: str | None = None, direction: str = "out", depth: int = 1, limit: int = 100, strict: bool = True) -> DataFrame:
+        return graph.spark.createDataFrame([], _TAKEN)
+    found = _found(graph, start, over, direction, depth).select("id", "label", "depth", "keys")
+    if limit is None:
+        return found.withColumn("rank", F.lit(None).cast("long"))
+    if limits is not None and expanded_edges(graph, start, over, direction, depth, limit, checks=False) > limits.edges:
+        raise LimitExceeded(f"the walk looks at more than {limits.edges} edges")
+    return found.orderBy("depth", "keys").limit(limit).withColumn("rank", F.row_number().over(W.orderBy("depth", "keys")).cast("long"))
+
+
+def walk(graph: Graph, start: str, over: str | None = None, direction: str = "out", depth: int = 1, limit: int | None = 100, limits: Limits | None = None, fields: Sequence[str] | None = None) -> DataFrame:
+    """rank, id, label, depth of the first limit nodes that a breadth-first walk discovers, and, if fields are named, these
+    fields of theirs (see objects.fields_of; then only rank, depth and the fields). Depth 0, limit 0, negative ones and an unknown start give no rows. limits holds
+    depth, results and looked-at edges to ceilings, and raises LimitExceeded before any row is given."""
+    taken = _taken(graph, start, over, direction, depth, limit, limits)
+    if fields is None:
+        return taken.select("rank", "id", "label", F.col("depth").cast("long").alias("depth"))
+    taken = materialize(taken, "walk")  # limit rows: then each label's table meets a small one
+    return taken.select("rank", "id", F.col("depth").cast("long").alias("depth")).join(node_objects(graph, taken.select("id", "label"), fields), "id").select("rank", F.col("depth").alias("depth_"), *[F.col(f"object.`{f}`").alias(f) for f in fields]).withColumnRenamed("depth_", "depth")
+
+
+def _unpacked(key: Column) -> list[Column]:
+    """from, type and to of an edge key; lengths in it are bytes."""
+    rest, out = key.cast("binary"), []
+    for _ in range(3):
+        n = F.substring_index(rest.cast("string"), ":", 1)
+        begin = F.length(n) + 2
+        out.append(F.substring(rest, begin, n.cast("int")).cast("string"))
+        rest = F.substring(rest, begin + n.cast("int"), F.lit(1 << 20))
+    return out
+
+
+def paths(graph: Graph, start: str, over: str | None = None, direction: str = "out", depth: int = 1, limit: int = 100, limits: Limits | None = None, fields: Sequence[str] | None = None, whole: bool = False) -> DataFrame:
     """The edges of each discovered node's one path: rank and id of the node, hop (from 1), the
     edge's type, stored from and to and version, and the node that the hop leads to. A path
-    starts at the walk's start; edges keep their stored direction."""
-    taken = _taken(graph, start, over, direction, depth, limit, strict)
-    hops = taken.select("rank", "id", F.posexplode("keys").alias("at", "key")).select("rank", "id", (F.col("at") + 1).cast("long").alias("hop"), "key")
-    kinds = sorted(graph.edges) if over is None else [k for k in (over,) if k in graph.edges]
-    from ..functions import edge_key
-    from ..graph import _union
-
-    each = [graph.edges[k].select(edge_key(F.col("from"), F.lit(k), F.col("to")).alias("key"), F.lit(k).alias("type"), "from", "to", "version") for k in kinds]
-    edges = _union(graph.spark, each, "key string, type string, from string, to string, version long")
-    return hops.join(edges, "key").select("rank", "id", "hop", "type", "from", "to", F.col("to" if direction == "out" else "from").alias("node"), "version")
-
-
-def expanded_edges(graph: Graph, start: str, over: str | None = None, direction: str = "out", depth: int = 1, limit: int = 100, most: int | None = None) -> int:
+    starts at the walk's start; edges keep their stored direction. With fields, or whole, hop 0 is the start (without an
+    edge), and at and edge hold the named fields of each hop's node and edge, or all that they have (see objects)."""
+    taken = materialize(_taken(graph, start, over, direction, depth, limit, limits), "walk").select("rank", "id", "keys")
+    source, kind, target = _unpacked(F.col("key"))
+    hops = taken.select("rank", "id", F.posexplode("keys").alias("at", "key")).select("rank", "id", (F.col("at") + 1).cast("long").alias("hop"), kind.alias("type"), source.alias("from"), target.alias("to"))
+    hops = hops.withColumn("node", F.col("to" if direction == "out" else "from"))
+    distinct = hops.select("type", "from", "to").distinct()
+    if fields is None and not whole:
+        held = edge_objects(graph, distinct, ("version",))
+        return hops.join(held, ["type", "from", "to"]).select("rank", "id", "hop", "type", "from", "to", "node", F.col("object.version").alias("version"))
+    begin = taken.select("rank", "id", F.lit(0).cast("long").alias("hop"), *[F.lit(None).cast("string").alias(c) for c in ("type", "from", "to")], F.lit(start).alias("node"))
+    hops = hops.unionByName(begin)
+    edges = edge_objects(graph, distinct, fields).withColumnRenamed("object", "edge")
+    nodes = node_objects(graph, hops.select(F.col("node").alias("id")).distinct(), fields).select(F.col("id").alias("node"), F.col("object").alias("at"))
+    return hops.join(edges, ["type", "from", "to"], "left").join(nodes, "node").select("rank", "id", "hop", "type", "from", "to", "node", "at", "edge")
+
+
+def expanded_edges(graph: Graph, start: str, over: str | None = None, direction: str = "out", depth: int = 1, limit: int = 100, most: int | None = None, checks: bool = True) -> int:
     """How many edges the walk looks at, each edge of each visited node, until the limit fills (in
     the middle of a node's edges); LimitExceeded beyond most. One pass over the reached nodes."""
-    taken = _taken(graph, start, over, direction, depth, limit, False)
-    n = 0
+    depth, limit, n = max(0, depth), max(0, limit), 0
     if depth and limit:
-        all_ = reach(graph, _start(graph, start), over, direction, depth).select("id", "depth", "keys")
-        begin = graph.spark.createDataFrame([(start, 0, [])], "id string, depth int, keys array<string>").join(graph.node_ids().select("id"), "id", "left_semi")
-        seen = begin.unionByName(all_).where(F.col("depth") < depth).join(graph.adjacency(over, direction), F.col("id") == F.col("src"))
+        all_ = materialize(_found(graph, start, over, direction, depth).select("id", "label", "depth", "keys"), "walk")
+        begin = graph.spark.createDataFrame([(start, 0, [])], "id string, depth int, keys array<string>")
+        seen = begin.unionByName(all_.drop("label")).where(F.col("depth") < depth).join(graph.adjacency(over, direction), F.col("id") == F.col("src"))
         seen = seen.select((F.col("depth") + 1).alias("depth"), F.concat("keys", F.array("key")).alias("keys"))
-        last = taken.orderBy(F.desc("depth"), F.desc("keys")).limit(1).collect()
-        if last and last[0]["rank"] == limit:
-            end = graph.spark.createDataFrame([(last[0]["depth"], last[0]["keys"])], "d int, k array<string>")
+        last = all_.orderBy("depth", "keys").limit(limit).agg(F.count("*").alias("n"), F.max(F.struct("depth", "keys")).alias("last")).first()
+        if last["n"] == limit:
+            end = graph.spark.createDataFrame([(last["last"]["depth"], last["last"]["keys"])], "d int, k array<string>")
             seen = seen.join(F.broadcast(end), (F.col("depth") < F.col("d")) | ((F.col("depth") == F.col("d")) & (F.col("keys") <= F.col("k"))))
-        n = seen.count()
+        n = seen.count() if last["n"] or not _missing(graph, start) else 0
     if most is not None and n > most:
         raise LimitExceeded(f"the walk looks at {n} edges, the limit is {most}")
     return n
 
 
+def _missing(graph: Graph, node_id: str) -> bool:
+    return graph.node_ids().where(F.col("id") == node_id).isEmpty()
+
+
 @dataclass(frozen=True)
 class Walk:
     """A walk put together step by step: Walk(graph, "ada").out("FOLLOWS").depth(2).paths().
@@ -134,6 +219,7 @@ class Walk:
     direction: str = "out"
     levels: int = 1
     most: int = 100
+    limits: Limits | None = STRICT
 
     def out(self, over: str | None = None) -> Walk:
         return replace(self, over=over, direction="out")
@@ -147,8 +233,21 @@ class Walk:
     def limit(self, n: int) -> Walk:
         return replace(self, most=max(0, n))
 
-    def collect(self) -> DataFrame:
-        return walk(self.graph, self.start, self.over, self.direction, self.levels, self.most)
+    def unbounded(self) -> Walk:
+        """The same walk without ceilings."""
+        return replace(self, limits=None)
+
+    def _how(self) -> tuple:
+        return self.graph, self.start, self.over, self.direction, self.levels, self.most, self.limits
+
+    def collect(self, fields: Sequence[str] | None = None) -> DataFrame:
+        return walk(*self._how(), fields)
+
+    def collect_as(self, model: type) -> list:
+        """The nodes as instances of a dataclass, in order: its fields are the nodes' fields of these names. As many rows as the limit reach the driver."""
+        names = list(model.__dataclass_fields__)
+        rows = walk(*self._how(), names).orderBy("rank").collect()
+        return [model(**{n: r[n] for n in names}) for r in rows]
 
-    def paths(self) -> DataFrame:
-        return paths(self.graph, self.start, self.over, self.direction, self.levels, self.most)
+    def paths(self, fields: Sequence[str] | None = None, whole: bool = False) -> DataFrame:
+        return paths(*self._how(), fields, whole)

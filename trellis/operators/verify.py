@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, _union
 
 
 def verify(graph: Graph) -> DataFrame:
     """Rows (check, name, n): nodes and edges of each label and type, ids that several nodes have,
-    edges given twice, and edges with an end that does not exist. Counts are longs."""
-    count = lambda df, check, name: df.agg(F.count("*").alias("n")).select(F.lit(check).alias("check"), F.lit(name).alias("name"), "n")
-    ids = graph.node_ids()
-    rows = [count(df, "nodes", k) for k, df in graph.nodes.items()] + [count(df, "edges", k) for k, df in graph.edges.items()]
-    rows.append(count(ids.groupBy("id").count().where("count > 1"), "repeated ids", ""))
-    for k, df in graph.edges.items():
-        rows.append(count(df.groupBy("from", "to").count().where("count > 1"), "repeated edges", k))
-        lost = df.join(ids.select(F.col("id").alias("from"), F.lit(True).alias("a")), "from", "left").join(ids.select(F.col("id").alias("to"), F.lit(True).alias("b")), "to", "left")
-        rows.append(count(lost.where("a is null or b is null"), "dangling edges", k))
-    return reduce(DataFrame.unionByName, rows)
+    edges given twice, and edges with an end that does not exist. Counts are longs.
+
+    All nodes are one table of ids, counted once; all edges are one table of ends, counted once and met with the ids at either end, and
+    one aggregation by type gives the three counts of edges."""
+    ids = graph.node_ids().groupBy("id").agg(F.count("*").alias("n"))
+    nodes = graph.node_ids().groupBy("label").agg(F.count("*").alias("nodes"))
+    edges = _union(graph.spark, [graph.edges[k].select(F.lit(k).alias("type"), "from", "to") for k in sorted(graph.edges)], "type string, from string, to string")
+    edges = edges.groupBy("type", "from", "to").agg(F.count("*").alias("n"))
+    for end in ("from", "to"):
+        edges = edges.join(ids.select(F.col("id").alias(end), F.lit(True).alias(f"has_{end}")), end, "left")
+    lost = F.col("has_from").isNull() | F.col("has_to").isNull()
+    by_type = edges.groupBy("type").agg(F.sum("n").alias("edges"), F.sum((F.col("n") > 1).cast("long")).alias("repeated edges"), F.sum(F.when(lost, F.col("n")).otherwise(0)).alias("dangling edges"))
+    # Labels and types without rows have their row of zeros.
+    named = lambda names, c: graph.spark.createDataFrame([(n,) for n in sorted(names)], f"{c} string")
+    nodes = named(graph.nodes, "label").join(nodes, "label", "left").select(F.lit("nodes").alias("check"), F.col("label").alias("name"), F.coalesce("nodes", F.lit(0)).alias("n"))
+    counts = ("edges", "repeated edges", "dangling edges")
+    by_type = named(graph.edges, "type").join(by_type, "type", "left")
+    by_type = by_type.select("type", F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias("n")) for c in counts])).alias("c")).select("c.check", F.col("type").alias("name"), "c.n")
+    repeated = ids.agg(F.coalesce(F.sum((F.col("n") > 1).cast("long")), F.lit(0)).alias("n")).select(F.lit("repeated ids").alias("check"), F.lit("").alias("name"), "n")
+    return nodes.unionByName(by_type).unionByName(repeated)

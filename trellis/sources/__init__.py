@@ -1,4 +1,4 @@
 from .star import star_graph
-from .store import load, save
+from .store import drop_old, generations, load, save, summary
 
-__all__ = ["load", "save", "star_graph"]
+__all__ = ["drop_old", "generations", "load", "save", "star_graph", "summary"]

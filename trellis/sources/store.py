@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import Conflict, CorruptData
+from ..errors import Conflict, CorruptData, UnsupportedVersion
 from ..graph import Graph
 
 _FORMAT = 1
@@ -27,8 +27,8 @@ def generations(spark: SparkSession, path: str) -> list[int]:
 
 
 def save(graph: Graph, path: str, lsn: int = 0) -> int:
-    """Writes a new generation and returns its number. Nodes are clustered by id and edges by
-    source, with their key, so that point reads and frontiers skip row groups by statistics.
+    """Writes a new generation and returns its number; a path elsewhere makes a consistent copy. Nodes are clustered by id, or by the first property that a declared
+    index names for the label (then id, which has Bloom filters either way), and edges by source, so that point reads, finds by the property and frontiers skip row groups.
     The manifest comes last: without it a generation does not exist, so a failed save leaves
     the last one in force."""
     spark = graph.spark
@@ -38,10 +38,14 @@ def save(graph: Graph, path: str, lsn: int = 0) -> int:
     if fs.exists(at):
         raise Conflict(f"{here} is being written or was left unfinished")
     rows = []
-    for i, (k, df) in enumerate(sorted(graph.nodes.items())):
-        df.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{here}/nodes/{i}")
+    for i, k in enumerate(sorted(graph.nodes)):
+        df = graph.nodes[k]
+        declared = [p for label, p in sorted(graph.indexes) if label == k and p in df.columns]
+        by = [F.col(f"`{declared[0]}`"), F.col("id")] if declared else [F.col("id")]
+        df.repartitionByRange(*by).sortWithinPartitions(*by).write.option("parquet.bloom.filter.enabled#id", "true").parquet(f"{here}/nodes/{i}")
         rows.append(("nodes", k, i, lsn))
-    for i, (k, df) in enumerate(sorted(graph.edges.items())):
+    for i, k in enumerate(sorted(graph.edges)):
+        df = graph.edges[k]
         df.repartitionByRange("from", "to").sortWithinPartitions("from", "to").write.parquet(f"{here}/edges/{i}")
         rows.append(("edges", k, i, lsn))
     rows += [(f"index:{label}", prop, 0, lsn) for label, prop in sorted(graph.indexes)]
@@ -58,8 +62,11 @@ def load(spark: SparkSession, path: str, generation: int | None = None) -> Graph
     here = f"{path}/gen-{generation or known[-1]}"
     graph = Graph(spark)
     rows = spark.read.schema("part string, name string, at int, lsn long").json(f"{here}/manifest").collect()  # a row per label, type and index
-    if ("format", str(_FORMAT)) not in {(r["part"], r["name"]) for r in rows}:
-        raise CorruptData(f"{here} has another format")
+    formats = {r["name"] for r in rows if r["part"] == "format"}
+    if not formats:
+        raise CorruptData(f"{here} has no format")
+    if formats != {str(_FORMAT)}:
+        raise UnsupportedVersion(f"{here} has format {', '.join(sorted(formats))}")
     for r in rows:
         if r["part"] == "nodes":
             graph = graph.with_nodes(r["name"], spark.read.parquet(f"{here}/nodes/{r['at']}"))
