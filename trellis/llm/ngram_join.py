@@ -349,7 +349,8 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, heavy_least
     discard(prefixes, several)
     likely = _likely(postings, percent, short_list, marks_of)
     heads = materialize(likely.groupBy("h").agg(F.min("rep").alias("head")), "heads")
-    entries = materialize(likely.join(heads, "h"), "entries")
+    # Lists of one smallest set are one list: it holds every pair that they hold, each set once however many of them it stands in.
+    entries = materialize(likely.join(heads, "h").select(F.col("head").alias("h"), "rep", "head").distinct(), "entries")
     discard(postings, heads)
     members = materialize(
         entries.groupBy("rep").agg(F.min("head").alias("label")).join(rows.where("doc_id = rep").select("rep", "n_shingles", "copies").distinct(), "rep"), "members"
