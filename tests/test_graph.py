@@ -1,4 +1,5 @@
 import random
+import re
 from collections import deque
 from dataclasses import dataclass
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trellis.errors import Conflict, CorruptData, InvalidArgument, LimitExceeded, NotFound
 from trellis.functions import SCALAR, scalar
-from trellis.graph import Graph
+from trellis.graph import Graph, Link
 from trellis.limits import STRICT, Limits
 from trellis.operators import Changes, Walk, apply_changes, expanded_edges, find_nodes, get_edge, get_node, inspect, inspect_edges, inspect_indexes, inspect_nodes, one, paths, reach, verify, walk
 from trellis.sources import load, save, star_graph
@@ -259,3 +260,53 @@ def test_first_level_and_point_reads_push_their_keys(spark, sf):
     assert text.count("FileScan") < 30 and "EqualTo(o_custkey,1)" in text and "EqualTo(user_id,1)" in text
     assert "EqualTo(p_partkey,7)" in plan(get_node(g, "part:7")) and plan(get_node(g, "part:7")).count("FileScan") == 1
     assert "EqualTo(l_orderkey,1)" in plan(get_edge(g, "CONTAINS", "order:1", "part:2"))
+
+
+def faulty(spark, keyed):
+    """A graph with repeated and null keys, repeated edges and edges to nowhere, by native keys and links or by ids."""
+    rows = lambda schema, *r: spark.createDataFrame(list(r), schema)
+    nodes = {"A": rows("key long", (1,), (1,), (2,), (None,)), "B": rows("key long", (1,), (5,), (None,)), "T": rows("key string", ("t:x",), ("t:y",), ("t:y",))}
+    pairs = {"AB": rows("src long, dst long", (1, 1), (1, 1), (2, 9), (8, 5), (7, 7), (7, 7), (None, 1), (None, 1), (2, None)), "AT": rows("src long, dst string", (1, "t:x"), (1, "t:z"), (3, "t:y")), "NONE": rows("src long, dst long")}
+    folded = lambda df: df.groupBy("src", "dst").agg(F.count("*").alias("lines"))
+    g = Graph(spark)
+    for k, df in nodes.items():
+        g = g.with_keyed(k, {"A": "a:", "B": "b:", "T": "t:"}[k], lambda df=df: df, text=k == "T")
+    g = g.with_links("AB", Link("A", "B", lambda: pairs["AB"]), Link("A", "B", lambda: pairs["AB"].where("src = 1").distinct())).with_links("AT", Link("A", "T", lambda: pairs["AT"])).with_links("NONE", Link("A", "B", lambda: pairs["NONE"]))
+    g = g.with_links("SUM", Link("A", "B", lambda: pairs["AB"], folded), Link("B", "B", lambda: pairs["AB"], lambda df: df.withColumn("lines", F.lit(1).cast("long"))))
+    if keyed:
+        return g
+    plain = Graph(spark)
+    for k in g.nodes:
+        plain = plain.with_nodes(k, g.nodes[k])
+    for k in g.edges:
+        plain = plain.with_edges(k, g.edges[k])
+    return plain
+
+
+def test_verify_is_the_same_by_keys_and_by_ids(spark):
+    got = [{(r["check"], r["name"]): r["n"] for r in verify(faulty(spark, keyed)).collect()} for keyed in (True, False)]
+    assert got[0] == got[1]
+    want = {"edges": (10, 3, 0, 15), "repeated edges": (3, 0, 0, 3), "dangling edges": (7, 2, 0, 12)}
+    for check, counts in want.items():
+        assert tuple(got[0][check, k] for k in ("AB", "AT", "NONE", "SUM")) == counts, check
+    assert got[0]["nodes", "A"] == 4 and got[0]["repeated ids", ""] == 3  # a:1, t:y and the null ids of A and B
+
+
+def shuffles(df):
+    """(keys, partitions, why) of a plan's shuffles by hash."""
+    found = re.findall(r"Exchange hashpartitioning\((.*), (\d+)\), (\w+)", df._jdf.queryExecution().executedPlan().toString())
+    return [(re.sub(r"#\d+L?", "", keys), int(n), why) for keys, n, why in found]
+
+
+@pytest.mark.parametrize("keyed", (True, False))
+def test_verify_deals_edges_by_their_rows(spark, sf, monkeypatch, keyed):
+    """Tasks follow the number of rows, not the session's setting, wherever edges or ids are gathered."""
+    monkeypatch.setattr("trellis.graph.ROWS_A_TASK", 500)
+    g = star_graph(spark, sf)
+    if not keyed:
+        g = Graph(spark).with_nodes("Order", g.nodes["Order"]).with_edges("CONTAINS", g.edges["CONTAINS"])
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    found = [(set(keys.split(", ")), n, why) for keys, n, why in shuffles(verify(g))]
+    half = [{"src", "dst"}, {"type", "from", "to"}] if keyed else []  # edges that have a null end
+    assert all(why == "REPARTITION_BY_NUM" for keys, _, why in found if keys & {"src", "dst", "from", "to", "key"} and keys not in half)
+    assert max(n for keys, n, _ in found if {"src", "dst"} <= keys or {"from", "to"} <= keys) >= lines // 500

@@ -16,6 +16,14 @@ from .functions import edge_key
 
 NODE_COLUMNS = ("id", "version", "last_modified_ms")
 EDGE_COLUMNS = ("from", "to", "version", "last_modified_ms")
+#: Rows of two keys that one task of a shuffle over whole tables holds, about: some 100 bytes each in a hash table or a sort. Partitions that follow
+#: the shuffle's compressed bytes hold ten times as many, as keys compress so well.
+ROWS_A_TASK = 1 << 19
+
+
+def tasks(rows: int) -> int:
+    """Into how many tasks to deal so many rows."""
+    return max(1, -(-rows // ROWS_A_TASK))
 
 
 class Tables(Mapping[str, DataFrame]):
@@ -162,6 +170,13 @@ class Graph:
         return _union(self.spark, [self.edges[k].select(F.col(a).alias("src"), F.col(b).alias("dst"), *[f(k) for f in key]) for k in self.kinds(over)], "src string, dst string" + ", key string" * keyed)
 
 
+def row_counts(tables: list[DataFrame]) -> list[int]:
+    """How many rows each table has, by one job; a table read from Parquet tells by its footers."""
+    each = [df.agg(F.count("*").alias("n")).select(F.lit(i).alias("i"), "n") for i, df in enumerate(tables)]
+    held = {r["i"]: r["n"] for r in reduce(DataFrame.unionByName, each).collect()} if each else {}
+    return [held[i] for i in range(len(tables))]
+
+
 def ends(direction: str) -> tuple[str, str]:
     if direction not in ("out", "in"):
         raise InvalidArgument(f"unknown direction {direction}")
