@@ -310,3 +310,23 @@ def test_verify_deals_edges_by_their_rows(spark, sf, monkeypatch, keyed):
     half = [{"src", "dst"}, {"type", "from", "to"}] if keyed else []  # edges that have a null end
     assert all(why == "REPARTITION_BY_NUM" for keys, _, why in found if keys & {"src", "dst", "from", "to", "key"} and keys not in half)
     assert max(n for keys, n, _ in found if {"src", "dst"} <= keys or {"from", "to"} <= keys) >= lines // 500
+
+
+def test_walks_from_many_starts_deal_their_rows(spark, sf, monkeypatch):
+    """Edges, frontiers and ids of a level are dealt by counts; what is found is what ids find without native keys."""
+    monkeypatch.setattr("trellis.graph.ROWS_A_TASK", 100)
+    g = star_graph(spark, sf).only(("Customer", "Order", "Part"), ("PLACED", "CONTAINS"))
+    df = reach(g, g.nodes["Customer"], depth=2, ordered=False, label="Customer")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    found = [(set(keys.split(", ")), n, why) for keys, n, why in shuffles(df)]
+    assert all(why == "REPARTITION_BY_NUM" for keys, _, why in found if keys & {"src", "start"})
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert max(n for keys, n, _ in found if keys == {"src"}) >= lines // 100 and max(n for keys, n, _ in found if keys == {"start", "key"}) >= lines // 200
+    plain = Graph(spark).with_edges("PLACED", g.edges["PLACED"]).with_edges("CONTAINS", g.edges["CONTAINS"])
+    for k in g.nodes:
+        plain = plain.with_nodes(k, g.nodes[k])
+    some = g.nodes["Customer"].where("id like 'customer:1%'")
+    for direction, starts, label in (("out", some, "Customer"), ("in", g.nodes["Part"].where("id like 'part:1_'"), "Part")):
+        got = [sorted((r.start, r.id, r.depth, r["keys"]) for r in reach(x, starts, direction=direction, depth=2, label=label).collect()) for x in (g, plain)]
+        assert got[0] and got[0] == got[1]

@@ -7,7 +7,9 @@ and one minimum by node, which combines before it shuffles, however many starts
 however many edges a hub has.
 
 Where edge types have links, the frontier is kept by label: a level reads only types that leave the labels
-reached, joins native keys, and looks up only the labels that they lead to; the first level's key is a literal that the scan sees."""
+reached, joins native keys, and looks up only the labels that they lead to; the first level's key is a literal that the scan sees.
+From a table of starts, every shuffle of a level is dealt by the rows that it is to hold: counted ones of edges, and for a frontier
+its rows times the edges that a node of its label has on average. A wrong guess changes the number of tasks, never what is found."""
 
 from __future__ import annotations
 
@@ -20,7 +22,7 @@ from pyspark.sql.window import Window as W
 
 from ..errors import InvalidArgument, LimitExceeded
 from ..functions import edge_key
-from ..graph import Graph, _union, ends
+from ..graph import Graph, _union, ends, row_counts, tasks
 from ..limits import STRICT, Limits
 from ..scratch import materialize
 from .objects import edge_objects, node_objects
@@ -55,13 +57,23 @@ def _by_name(graph: Graph, first: DataFrame, over: str | None, direction: str, d
     return best.where("at.depth > 0").select("start", "id", F.col("at.depth").alias("depth"), F.col("at.keys").alias("keys"))
 
 
+def _dealt(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """df over n tasks, if several. Then a join sorts it: keys compress so well that Spark would take large tables of them for small ones, and broadcast them."""
+    return df.repartition(n, *by).hint("merge") if n > 1 else df
+
+
 def _by_label(graph: Graph, label: str, first: DataFrame | int | str, over: str | None, direction: str, depth: int, ordered: bool) -> dict[str, DataFrame]:
     """reach over native keys: (start, key, depth, keys) by label. first: the one start's key, or starts that exist (key)."""
     one = not isinstance(first, DataFrame)
     frontier = {} if one else {label: first.select(F.col("key").alias("start"), "key", _keys(ordered).alias("keys"))}
+    links, labels = [x for kind in graph.kinds(over) for x in graph.links[kind]], list(graph.keyed)
+    counts = [] if one else row_counts([first, *[graph.keyed[b].table.select("key") for b in labels], *[x.table for x in links]])
+    starts, nodes, rows = (counts[0], dict(zip(labels, counts[1:])), {id(x): n for x, n in zip(links, counts[1 + len(labels) :])}) if counts else (1, {}, {})
+    size = {label: starts}  # rows of each label's frontier, about
     reached: dict[str, list[DataFrame]] = {}
     for level in range(1, depth + 1):
         found: dict[str, list[tuple[DataFrame, bool]]] = {}
+        makes: dict[str, int] = {}
         for kind in graph.kinds(over):
             for link in graph.links[kind]:
                 (a, b, src, dst, end) = (link.source, link.target, "src", "dst", "target") if direction == "out" else (link.target, link.source, "dst", "src", "source")
@@ -73,23 +85,38 @@ def _by_label(graph: Graph, label: str, first: DataFrame | int | str, over: str
                 if literal:
                     step = edges.where(F.col(src) == F.lit(first)).withColumn("start", F.col(src)).withColumn("keys", _keys(ordered))
                 else:
-                    step = frontier[a].withColumnRenamed("key", src).join(edges, src)
+                    before = frontier[a].withColumnRenamed("key", src)
+                    if not one:
+                        n = tasks(rows[id(link)] + size[a])
+                        before, edges = _dealt(before, n, src), _dealt(edges, n, src)
+                        makes[b] = makes.get(b, 0) + size[a] * rows[id(link)] // max(1, nodes[a])
+                    step = before.join(edges, src)
+                    if level == 1:  # start by start: the join deals them so
+                        step = step.withColumn("start", F.col(src))
                 step = step.select("start", F.col(dst).alias("key"), _longer(ordered, key).alias("keys"))
                 found.setdefault(b, []).append((step, end in link.sure))
         frontier = {}
         for b, steps in found.items():
             step = _union(graph.spark, [s for s, _ in steps], "")
             if not all(sure for _, sure in steps):
-                step = step.join(graph.keyed[b].table.select("key"), "key")
+                exist = graph.keyed[b].table.select("key")
+                if not one:
+                    n = tasks(makes[b] + nodes[b])
+                    step, exist = _dealt(step, n, "key"), _dealt(exist, n, "key")
+                step = step.join(exist, "key")
             if b == label:
                 step = step.where(F.col("key") != F.col("start"))
+            if not one and not (level == 1 and len(steps) == 1 and steps[0][1]):  # else they are dealt by start already
+                step = _dealt(step, tasks(makes[b]), "start", "key")
             step = step.groupBy("start", "key").agg(F.min("keys").alias("keys"))
             for before in reached.get(b, []):
                 step = step.join(before, ["start", "key"], "left_anti")
             frontier[b] = step
+        size = {b: min(n, starts * nodes[b]) for b, n in makes.items()}
         if level % LEVELS_A_QUERY == 0 and level < depth:
             frontier = {b: materialize(step, "walk") for b, step in frontier.items()}
-            frontier = {b: step for b, step in frontier.items() if not step.isEmpty()}
+            size = dict(zip(frontier, row_counts(list(frontier.values()))))
+            frontier = {b: step for b, step in frontier.items() if size[b]}
         for b, step in frontier.items():
             reached.setdefault(b, []).append(step.withColumn("depth", F.lit(level)))
         if not frontier:
@@ -104,7 +131,9 @@ def reach(graph: Graph, starts: DataFrame, over: str | None = None, direction: s
     ends(direction)
     if label in graph.keyed and graph.linked(over):
         at = graph.keyed[label]
-        first = starts.select(at.decoded(F.col("id")).alias("key")).join(at.table.select("key"), "key").distinct()
+        n = tasks(sum(row_counts([starts])))
+        first = starts.select(at.decoded(F.col("id")).alias("key"))
+        first = _dealt(first, n, "key").join(_dealt(at.table.select("key"), n, "key"), "key", "left_semi").distinct()
         parts = _by_label(graph, label, first, over, direction, max(0, depth), ordered)
         each = [df.select(at.encode(F.col("start")).alias("start"), graph.keyed[b].encode(F.col("key")).alias("id"), "depth", "keys") for b, df in parts.items()]
         return _union(graph.spark, each, "start string, id string, depth int, keys array<string>")
